@@ -17,6 +17,7 @@ _RINV = pow(_R, -1, 1 << 64)
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _POW = np.ones(1, np.uint64)
 _INV = np.ones(1, np.uint64)
+_EXACT = _TABLE.copy()
 _TABLE[65:91] = _TABLE[97:123]
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -79,10 +80,11 @@ def spans(data: np.ndarray, offs: np.ndarray, table: np.ndarray = IS_WORD) -> tu
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """Hash of each span of bytes; ``fold``: ASCII letters of either case are the same."""
     p, inv = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * p[: len(data)], out=total[1:])
+    np.cumsum((_TABLE if fold else _EXACT)[data] * p[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
 
 
