@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, line_windows, packing, quality_fm, simhash_forest
+from . import decontamination, embedding_collisions, line_windows, lm_scoring, packing, quality_fm, secret_scan, simhash_forest, tiered_shards, warc_fixity
+from ._store import fresh_dir
 from ..runtime import ship
 
 
@@ -14,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scores(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps, with its score."""
     docs = _table(spark, sf_dir, "documents")
@@ -25,6 +31,16 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(_table(spark, sf_dir, "documents"))
+
+
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fixity drill: the archive of all pages against a replica with known faults."""
+    pages = _table(spark, sf_dir, "pages")
+    return warc_fixity.audit(warc_fixity.stored(pages), warc_fixity.damaged(pages))
+
+
 def op6_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_windows.cleaned(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +53,19 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op9_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as they read from the compacted table."""
+    table = tiered_shards.ShardTable(spark, fresh_dir(spark, "shards"))
+    table.append(_table(spark, sf_dir, "documents"))
+    table.compact()
+    table.vacuum()
+    return table.read().select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", "source", "n_chars")
+
+
+def op10_embedding_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_collisions.near_pairs(_table(spark, sf_dir, "embeddings"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -47,7 +76,11 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: _shipped(q) for q in (op2_quality_fm, op3_decontamination, op6_line_windows, op7_simhash_forest, op8_packing)}
+    all_ = (
+        op1_lm_scoring, op2_quality_fm, op3_decontamination, op4_secret_scan, op5_warc_fixity,
+        op6_line_windows, op7_simhash_forest, op8_packing, op9_tiered_shards, op10_embedding_collisions,
+    )
+    return {q.__name__: _shipped(q) for q in all_}
 
 
 #: Word shingles of lower-cased text, windows of the item's size, by brute force.
@@ -101,5 +134,30 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+_OP5 = """
+WITH r AS (
+  SELECT page_id, coalesce(url, '') AS url,
+    'WARC/1.0' || e || 'WARC-Type: response' || e || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || e
+    || 'WARC-Target-URI: ' || coalesce(url, '') || e || 'Content-Length: ' || strlen(coalesce(html, '')) || e || e || coalesce(html, '') || e || e AS bytes
+  FROM pages, (SELECT chr(13) || chr(10) AS e)
+), f AS (
+  SELECT coalesce(page_id // 1024, -1) AS file, page_id, strlen(bytes) AS length, row_number() OVER (PARTITION BY page_id ORDER BY url, sha256(bytes)) AS n,
+    substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 2) AS mark
+  FROM r
+), o AS (
+  SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM f
+)
+SELECT file, off AS offset, length, page_id, n, CASE mark WHEN 'a7' THEN 'corrupt' WHEN 'b3' THEN 'resized' ELSE 'missing' END AS status
+FROM o WHERE mark IN ('a7', 'b3', 'c9')
+"""
+
+_OP9 = "SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents"
+
+_OP10 = """
+SELECT DISTINCT a.vec_id AS id_a, b.vec_id AS id_b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.95
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": _OP3, "op6_line_windows": _OP6}
+    return {"op3_decontamination": _OP3, "op5_warc_fixity": _OP5, "op6_line_windows": _OP6, "op9_tiered_shards": _OP9, "op10_embedding_collisions": _OP10}
