@@ -4,7 +4,8 @@ Every three consecutive lines of a document are hashed; windows that occur more
 found globally, and the lines that later occurrences cover are removed, overlapping windows merged.
 
 A line ends at a newline or, as web text often has whole paragraphs on one line, at a sentence end
-(one of ``.!?`` before white space). Lines are compared without the white space around them; blank lines
+(one of ``.!?`` before white space) and, within a sentence, after each ``WORDS`` words, so that a copied
+passage of some fifty words is always several lines. Lines are compared without the white space around them; blank lines
 are no part of a window but go when a removed window spans them. A window of fewer than ``MIN_BYTES``
 bytes is no evidence of copying and is left alone. The first occurrence is that of the lowest doc_id (null ids
 last), then the lowest position. A repeat within a document is a repeat too.
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from . import _text
 
 LINES = 3
+WORDS = 12
 MIN_BYTES = 30
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _STOP = np.isin(np.arange(256), [ord(c) for c in ".!?"])
@@ -41,6 +43,10 @@ def lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     cut = data == 10
     cut[:-1] |= _STOP[data[:-1]] & space[1:]
     starts = np.unique(np.concatenate((offs[:-1], np.flatnonzero(cut) + 1)))
+    first, last, _ = _text.spans(data, offs, ~_SPACE)
+    of = np.searchsorted(starts, first, "right")
+    full = (np.arange(len(first)) - np.searchsorted(of, of)) % WORDS == WORDS - 1
+    starts = np.unique(np.concatenate((starts, last[full])))
     starts = starts[starts < n]
     ends = np.append(starts[1:], n)
     ink = np.append(np.flatnonzero(~space), n)

@@ -112,11 +112,14 @@ SELECT doc_id, item_id, max(shared::DOUBLE / s) AS containment, arg_min(start, (
 FROM n JOIN items USING (item_id) WHERE shared >= ceil(0.7::DOUBLE * s - 1e-9) GROUP BY doc_id, item_id
 """
 
-#: Lines end at newlines and at sentence ends before white space; U+0001 marks the cuts.
+#: Lines end at newlines, at sentence ends before white space and after twelve words; U+0001 marks the cuts.
 _OP6 = r"""
 WITH seg AS (
   SELECT doc_id, u.l, u.i, trim(u.l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM (
-    SELECT doc_id, string_split(replace(regexp_replace(text, '([.!?])([\t\n\v\f\r ])', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1)), chr(1)) AS a FROM documents WHERE text IS NOT NULL
+    SELECT doc_id, flatten(list_transform(
+      string_split(replace(regexp_replace(text, '([.!?])([\t\n\v\f\r ])', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1)), chr(1)),
+      lambda s: string_split(regexp_replace(s, '([\t\n\v\f\r ]*[^\t\n\v\f\r ]+(?:[\t\n\v\f\r ]+[^\t\n\v\f\r ]+){11})', '\1' || chr(1), 'g'), chr(1))
+    )) AS a FROM documents WHERE text IS NOT NULL
   ) d, LATERAL (SELECT unnest(a) AS l, unnest(range(len(a))) AS i) u
 ), w AS (
   SELECT doc_id, i AS a, lead(i, 2) OVER o AS b, t || chr(1) || lead(t, 1) OVER o || chr(1) || lead(t, 2) OVER o AS x,
