@@ -1,7 +1,7 @@
 """SimHash near-dedup by an LSH forest.
 
-A fingerprint has 128 bits, each the majority of a random bit over the distinct word pairs of the whole
-text; documents are near-duplicates if their fingerprints differ in at most ``radius`` bits, and groups are
+A fingerprint has ``BITS`` bits, each the majority of a random bit over the distinct word pairs of the whole
+text; with 256 of them, unrelated documents don't come within the radius by chance, however many there are. Documents are near-duplicates if their fingerprints differ in at most ``radius`` bits, and groups are
 the connected components of that relation.
 
 The forest has several tries, each over its own random order of the bits. The depth of their prefixes
@@ -31,14 +31,19 @@ from . import _text
 from ._components import components
 from ._store import written
 
-BITS = 128
-LEAF = 512
+BITS = 256
+WORDS = BITS // 64
+RADIUS = 56
+LEAF = 2048
+PRINT = [f"f{_i}" for _i in range(WORDS)]
+_LANES = np.uint64(0x0101010101010101)
 _SHIFT = np.uint64(44)
+_PRINT_TYPE = ", ".join(f"{x} long" for x in PRINT)
 
 
 def fingerprints_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that have words, their fingerprints as two uint64)."""
-    rows, prints = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)]
+    """(rows that have words, their fingerprints as ``WORDS`` uint64)."""
+    rows, prints = [np.zeros(0, np.int64)], [np.zeros((0, WORDS), np.uint64)]
     for first, data, offs in _text.blocks(column):
         start, end, row = _text.spans(data, offs)
         h = _text.hashes(data, start, end)
@@ -64,20 +69,19 @@ def _parts(row: np.ndarray, g: np.ndarray, most: int = 200_000) -> Iterator[np.n
         at = min(end, len(key))
 
 
-def _majority(key: np.ndarray, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+def _majority(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, fingerprints): eight bits at a time are counted in the bytes of one number, 255 hashes before a byte is full."""
     row = (key >> _SHIFT).astype(np.int64)
     first = np.flatnonzero(np.diff(row, prepend=-1))
     size = np.diff(np.append(first, len(row)))
-    hash_ = key & np.uint64((1 << 44) - 1)
-    out = np.empty((len(first), 2), np.uint64)
-    for w in range(2):
-        ones = np.zeros((len(first), 64), np.int64)
-        for at in range(0, len(key), most):  # a single very long text is more than one piece
-            g = _text.mix(hash_[at : at + most] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(w + 1))
-            bits = np.unpackbits(g.view(np.uint8).reshape(-1, 8), axis=1)
-            a, b = np.searchsorted(first, at, "right") - 1, np.searchsorted(first, at + len(g))
-            ones[a:b] += np.add.reduceat(bits, np.maximum(first[a:b] - at, 0), axis=0, dtype=np.int32)
-        out[:, w] = np.packbits((2 * ones > size[:, None]).view(np.uint8), axis=1).view(np.uint64)[:, 0]
+    hash_ = (key & np.uint64((1 << 44) - 1)) * np.uint64(0x9E3779B97F4A7C15)
+    cut = np.flatnonzero((np.arange(len(row)) - np.repeat(first, size)) % 255 == 0)
+    out = np.empty((len(first), WORDS), np.uint64)
+    for w in range(WORDS):
+        h = _text.mix(hash_ + np.uint64(w + 1))
+        lanes = np.stack([np.add.reduceat(h >> np.uint64(i) & _LANES, cut) for i in range(8)], 1)
+        ones = np.add.reduceat(lanes.view(np.uint8).reshape(len(cut), 64), np.searchsorted(cut, first), axis=0, dtype=np.int64)
+        out[:, w] = np.packbits(2 * ones > size[:, None], axis=1).view(np.uint64)[:, 0]
     return row[first], out
 
 
@@ -111,7 +115,7 @@ def prefixes(f: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _near(f: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs i < j within the radius."""
+    """All pairs i < j within the radius; most others differ too much in half of the bits already."""
     a, b = [], []
     step = max(1, 2_000_000 // max(1, len(f)))
     for i in range(0, len(f) - 1, step):
@@ -119,8 +123,11 @@ def _near(f: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         d = np.bitwise_count(x[:, None, 0] ^ f[None, i:, 0]) + np.bitwise_count(x[:, None, 1] ^ f[None, i:, 1])
         p, q = np.nonzero(d <= radius)
         up = q > p
-        a.append(i + p[up])
-        b.append(i + q[up])
+        p, q = p[up], q[up]
+        rest = np.bitwise_count(f[i + p, 2:] ^ f[i + q, 2:]).sum(1, dtype=np.int64)
+        in_ = d[p, q] + rest <= radius
+        a.append(i + p[in_])
+        b.append(i + q[in_])
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
 
 
@@ -160,27 +167,27 @@ def links(f: np.ndarray, radius: int, target: float, level: int = 1) -> np.ndarr
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0, f1) of the documents that have an id and words."""
+    """(doc_id, f0, f1, …) of the documents that have an id and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, f = fingerprints_of(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows)), pa.array(f[:, 0].copy().view(np.int64)), pa.array(f[:, 1].copy().view(np.int64))], ["doc_id", "f0", "f1"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows)), *(pa.array(f[:, w].copy().view(np.int64)) for w in range(WORDS))], ["doc_id", *PRINT])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", F.lower("text").alias("text")).mapInArrow(run, "doc_id long, f0 long, f1 long")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", F.lower("text").alias("text")).mapInArrow(run, f"doc_id long, {_PRINT_TYPE}")
 
 
 def near_edges(distinct: DataFrame, radius: int, target: float) -> DataFrame:
-    """(a, b): ids of ``distinct`` (id, f0, f1) that connect every group that the forest finds."""
+    """(a, b): ids of ``distinct`` (id, f0, f1, …) that connect every group that the forest finds."""
     tries, depth = plan(distinct.count(), radius, target)
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = [_order(t) for t in range(tries)]
         for b in batches:
-            f = np.stack([b.column(x).to_numpy().view(np.uint64) for x in ("f0", "f1")], 1)
+            f = np.stack([b.column(x).to_numpy().view(np.uint64) for x in PRINT], 1)
             for t, order in enumerate(orders):
                 node = prefixes(f, order, depth) | t << 48
-                yield pa.RecordBatch.from_arrays([pa.array(node), *(b.column(x) for x in ("id", "f0", "f1"))], ["node", "id", "f0", "f1"])
+                yield pa.RecordBatch.from_arrays([pa.array(node), *(b.column(x) for x in ("id", *PRINT))], ["node", "id", *PRINT])
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, ids, f in _nodes(batches):
@@ -192,7 +199,7 @@ def near_edges(distinct: DataFrame, radius: int, target: float) -> DataFrame:
                 if len(moved):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["a", "b"])
 
-    nodes = distinct.select("id", "f0", "f1").mapInArrow(grow, "node long, id long, f0 long, f1 long")
+    nodes = distinct.select("id", *PRINT).mapInArrow(grow, f"node long, id long, {_PRINT_TYPE}")
     return nodes.repartition("node").sortWithinPartitions("node").mapInArrow(connect, "a long, b long")
 
 
@@ -200,7 +207,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray,
     """Rows of each node, which follow one another, whatever batch they come in."""
     held: list[np.ndarray] = []
     for b in batches:
-        rows = np.stack([b.column(x).to_numpy() for x in ("node", "id", "f0", "f1")], 1)
+        rows = np.stack([b.column(x).to_numpy() for x in ("node", "id", *PRINT)], 1)
         cut = np.flatnonzero(np.diff(rows[:, 0])) + 1
         parts = np.split(rows, cut) if len(rows) else []
         for part in parts:
@@ -217,11 +224,11 @@ def _node(held: list[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
     return int(rows[0, 0]), rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
 
 
-def duplicates(docs: DataFrame, radius: int = 24, target: float = 0.9) -> DataFrame:
+def duplicates(docs: DataFrame, radius: int = RADIUS, target: float = 0.9) -> DataFrame:
     """(doc_id, duplicate_of): each document of a group but its least doc_id, and that one."""
     prints = written(fingerprints(docs), "fingerprints")
-    distinct = written(prints.groupBy("f0", "f1").agg(F.min("doc_id").alias("id")), "distinct-fingerprints")
-    same = prints.join(distinct, ["f0", "f1"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
+    distinct = written(prints.groupBy(*PRINT).agg(F.min("doc_id").alias("id")), "distinct-fingerprints")
+    same = prints.join(distinct, PRINT).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
     # Copies of one fingerprint hang on its least id already, so they needn't take part in the rounds.
     roots = components(near_edges(distinct, radius, target))
     near = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of"))
@@ -229,7 +236,7 @@ def duplicates(docs: DataFrame, radius: int = 24, target: float = 0.9) -> DataFr
     return near.unionByName(far).groupBy("doc_id").agg(F.min("duplicate_of").alias("duplicate_of")).where("doc_id <> duplicate_of")
 
 
-def deduplicated(docs: DataFrame, radius: int = 24, target: float = 0.9) -> DataFrame:
+def deduplicated(docs: DataFrame, radius: int = RADIUS, target: float = 0.9) -> DataFrame:
     """The rows of ``docs``, with all their columns, of the documents that stay."""
     gone = duplicates(docs, radius, target).select(F.col("doc_id").alias("__cc_id"))
     return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__cc_id"], "left_anti")
