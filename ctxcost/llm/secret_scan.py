@@ -11,7 +11,8 @@ Fisher's method combines their p-values. A secret passes, ordinary text fails. H
 by chance is measured, not assumed: each candidate has a decoy, as many symbols of the same alphabet from the
 ordinary text of its own document. Within a stratum of encoding and length, the false-discovery rate of a
 threshold is the share of decoys to candidates at or above it; a candidate's q-value is the least rate of
-any threshold that lets it in, and findings have ``q <= rate``. The strata are a fixed number of counters.
+any threshold that lets it in, and findings have ``q <= rate``. Decoys can't vouch for a string of symbols that
+ordinary text hasn't got, so the battery itself must not reject a finding at ``FLOOR``. The strata are a fixed number of counters.
 
 Defined cases: null and empty texts have no candidates; repeated rows are scanned each, null ids stay null;
 ties share a q-value (scores are compared in ``BINS`` steps); a document without enough ordinary text gives
@@ -34,6 +35,7 @@ from ._store import written
 
 MIN_LENGTH = 20
 BINS = 1000
+FLOOR = 0.001
 _B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 #: From the least alphabet on; a string has the first that holds all its symbols.
 ALPHABETS = {
@@ -170,4 +172,4 @@ def secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     q = above.select("encoding", "stratum", "bin", F.least(F.lit(1.0), F.min("share").over(down)).alias("q_value"))
     # At most as many rows as there are encodings, lengths and bins, whatever the number of documents.
     joined = found.withColumn("bin", bin_of("p_random")).join(F.broadcast(q), ["encoding", "stratum", "bin"])
-    return joined.where(F.col("q_value") <= rate).select("doc_id", "start", "length", "encoding", "p_uniform", "p_runs", "p_serial", "p_random", "q_value")
+    return joined.where((F.col("q_value") <= rate) & (F.col("p_random") >= FLOOR)).select("doc_id", "start", "length", "encoding", "p_uniform", "p_runs", "p_serial", "p_random", "q_value")
