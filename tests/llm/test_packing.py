@@ -1,0 +1,135 @@
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from ctxcost.llm import packing as pk
+
+from .conftest import prose, words
+
+
+def tokens(text):
+    runs = re.findall("[0-9A-Za-z\x80-\U0010ffff]+", text or "")
+    marks = re.sub("[0-9A-Za-z\x80-\U0010ffff\t\n\x0b\x0c\r ]", "", text or "")
+    return sum(-(-len(r.encode()) // 4) for r in runs) + len(marks)
+
+
+def best_fit(counts, tiers):
+    """Windows of each tier by best-fit decreasing, one piece at a time."""
+    left = sorted((n for n, c in counts.items() for _ in range(c)), reverse=True)
+    used = {}
+    for k in range(len(tiers) - 1, -1, -1):
+        below = tiers[k - 1] if k else 0
+        gaps, rest = [], []
+        for n in left:
+            fit = min((g for g in gaps if g >= n), default=None)
+            if fit is not None:
+                gaps.remove(fit)
+                gaps.append(fit - n)
+            elif n > below:
+                gaps.append(tiers[k] - n)
+            else:
+                rest.append(n)
+        used[tiers[k]], left = len(gaps), rest
+    return used
+
+
+def checked(rows, tiers, step_tokens):
+    """Windows are never over-full or with overlaps or gaps; pieces are sent to no tier too small."""
+    windows = defaultdict(list)
+    for r in rows:
+        windows[r.tier, r.window].append(r)
+    for (tier, _), own in windows.items():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.n_tokens
+        assert at <= tier and len({r.step for r in own}) == 1
+    assert {t for t, _ in windows} <= set(tiers)
+    for t in tiers:
+        numbers = {w for x, w in windows if x == t}
+        assert numbers == set(range(len(numbers)))
+    return windows
+
+
+@pytest.fixture(scope="module")
+def docs():
+    rng = random.Random(31)
+    return [(i, " ".join(words(rng, rng.choice((3, 20, 60, 150, 300, 900))))) for i in range(400)] + [(400, prose(rng, 5))]
+
+
+def test_counts_equal_plain_python(docs):
+    texts = [t for _, t in docs] + ["", "a-b_c", "é漢字 x!", "\n\t "]
+    assert pk.token_counts(pa.array(texts)).tolist() == [tokens(t) for t in texts]
+
+
+def test_every_token_has_one_place(make, docs):
+    tiers = (64, 256, 1024)
+    rows = pk.packed(make(docs), tiers, 4096).collect()
+    checked(rows, tiers, 4096)
+    parts = defaultdict(list)
+    for r in rows:
+        parts[r.doc_id].append((r.start, r.n_tokens))
+    for i, t in docs:
+        at = 0
+        for start, n in sorted(parts[i]):
+            assert start == at
+            at += n
+        assert at == tokens(t)
+    lengths = {r.tier: [x.n_tokens for x in rows if x.tier == r.tier] for r in rows}
+    assert any(n <= 64 for n in lengths[1024])  # gaps of long windows hold short pieces
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_as_full_as_best_fit(seed):
+    rng = random.Random(seed)
+    tiers = (64, 256, 1024)
+    counts = Counter(min(1024, int(rng.paretovariate(0.6) * 8)) for _ in range(1500))
+    p = pk.plan(dict(counts), tiers)
+    placed = Counter()
+    for length, _, k, _, per, _ in p.places.tolist():
+        assert length <= tiers[k] and per >= 1
+        placed[length] += 0
+    want = best_fit(counts, tiers)
+    got = dict(zip(tiers, p.windows))
+    total = lambda x: sum(t * n for t, n in x.items())
+    assert total(got) <= 1.02 * total(want) + 64
+    assert set(placed) == set(counts)
+
+
+def test_steps_cost_about_the_same(make):
+    rng = random.Random(33)
+    rows = pk.packed(make([(i, " ".join(words(rng, rng.choice((rng.randint(5, 30), rng.randint(5, 120)))))) for i in range(1500)]), (64, 256), 4096).collect()
+    for tier in (64, 256):
+        cost, size = Counter(), Counter()
+        for r in rows:
+            if r.tier == tier:
+                cost[r.step] += r.n_tokens**2
+        for (t, _), own in checked(rows, (64, 256), 4096).items():
+            if t == tier:
+                size[own[0].step] += tier
+        assert all(n <= 4096 for n in size.values())
+        if len(cost) > 3:
+            values = np.array(list(cost.values()))
+            assert values.std() / values.mean() < 0.2
+
+
+def test_odd_rows_and_empty(make, odd_rows):
+    rows = pk.packed(make(odd_rows, extra=True)).collect()
+    checked(rows, pk.TIERS, pk.STEP_TOKENS)
+    got = Counter()
+    for r in rows:
+        got[r.doc_id] += r.n_tokens
+    want = Counter()
+    for i, t in odd_rows:
+        want[i] += tokens(t)
+    assert got == +want
+    assert pk.packed(make([])).collect() == []
+
+
+def test_the_result_is_the_same_in_any_order(make, docs):
+    a, b = (sorted(map(tuple, pk.packed(make(docs).repartition(n)).collect())) for n in (1, 7))
+    assert a == b
