@@ -221,7 +221,7 @@ class ShardTable:
             self._fs.delete(self._path(f"{self.root}/manifests/v{v:012d}.json"), False)
         dead = [f.getPath() for f in self._fs.listStatus(self._path(f"{self.root}/shards")) if f.getPath().getName() not in live]
         for p in dead:
-            self._fs.delete(p, False)
+            self._fs.delete(p, True)
         return len(dead)
 
     def read(self, version: int | None = None) -> DataFrame:
