@@ -11,6 +11,7 @@ from ..functions import docs, kinds, paths, tokens
 from ..operators import detect, history, ignore_rules, modules, reach, score, snapshot, tiers
 from ..runtime import ship
 from ..schema import Context
+from ..store import written
 from . import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +38,7 @@ _FILES = f"""files AS (
 
 def _history(now: int) -> str:
     return f"""hist AS (
-  SELECT {_PATH.format(i="user_id")} AS path, max(CAST(epoch(ts) AS BIGINT)) AS last_commit, nullif(count(*) FILTER (CAST(epoch(ts) AS BIGINT) >= {now - 90 * 86400}), 0) AS commits_90d
+  SELECT {_PATH.format(i="user_id")} AS path, max(CAST(floor(epoch(ts)) AS BIGINT)) AS last_commit, nullif(count(*) FILTER (floor(epoch(ts)) >= {now - 90 * 86400}), 0) AS commits_90d
   FROM events WHERE event_type <> 'error' GROUP BY 1
 )"""
 
@@ -109,7 +110,7 @@ _LINKS = r"""pg AS (
   SELECT seq, path, i, array_to_string(list_filter(string_split(CASE WHEN t LIKE '/%' THEN t ELSE 'docs/' || t END, '/'), lambda x: x <> '' AND x <> '.'), '/') AS ref FROM loc WHERE t NOT LIKE '~%'
 ), lnk AS (SELECT * FROM res WHERE ref <> '')"""
 _REFS = _LINKS + """, known AS (
-  SELECT path AS ref FROM pg UNION SELECT ref FROM lnk GROUP BY ref HAVING count(DISTINCT seq) >= 2
+  SELECT path AS ref FROM pg UNION SELECT ref FROM lnk GROUP BY ref HAVING count(DISTINCT seq) >= 5
 ), miss AS (
   SELECT seq, path, count(*) AS n, count(*) FILTER (known.ref IS NULL) AS gone FROM lnk LEFT JOIN known USING (ref) GROUP BY seq, path
 )"""
@@ -250,7 +251,8 @@ def stale_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found_in(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    records = corpus.records(spark, sf_dir)
+    """Records and findings. Nine detectors and the score read the records, so these are a table, without text."""
+    records = written(corpus.records(spark, sf_dir), "records")
     return records, detect.run_all(records, CTX)
 
 

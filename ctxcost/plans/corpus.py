@@ -78,9 +78,9 @@ def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Those documents, and a file for every target that at least two of them link to."""
+    """Those documents, and a file for every target that at least five of them link to; rarer targets are missing."""
     own = linked(spark, sf_dir)
-    there = own.select("path", F.explode(F.array_distinct("referenced_paths")).alias("to")).groupBy("to").agg(F.count("*").alias("n")).where("n >= 2")
+    there = own.select("path", F.explode(F.array_distinct("referenced_paths")).alias("to")).groupBy("to").agg(F.count("*").alias("n")).where("n >= 5")
     return own.unionByName(there.select(F.lit(-1).cast("long").alias("seq"), F.col("to").alias("path"), F.lit(None).cast("array<string>").alias("referenced_paths")))
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import io
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from .store import fresh_dir
+
 _shipped: set[str] = set()
 
 
@@ -18,12 +19,15 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     root = Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="ctxcost-ship-")  # on the driver; Spark copies the file to the executors
-    path = os.path.join(folder, f"{root.name}.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(path)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{fresh_dir(spark, 'ship')}/{root.name}.zip")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path.toString())
     _shipped.add(app)
 
 
