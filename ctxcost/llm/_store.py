@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +34,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A side of a join up to this number of rows of one long is sent to every executor (some 16 MB); a larger one is shuffled.
+BROADCAST_KEYS = 500_000
+
+
+def without(docs: DataFrame, on: Column, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``on`` isn't a key of ``gone`` (one column, __cc_gone); where those are few, texts aren't shuffled."""
+    gone = written(gone, "gone")
+    few = gone.count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), on == gone["__cc_gone"], "left_anti")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path of the shared folder, wherever that is."""
     jvm = spark.sparkContext._jvm

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _text
-from ._store import written
+from ._store import without, written
 
 #: Benchmark shingles up to this number are sent to every task (8 bytes each); more are joined by a shuffle.
 BROADCAST_SHINGLES = 2_000_000
@@ -68,8 +68,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 4, containment: float
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, k: int = 4, containment: float = 0.7) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no item."""
-    bad = _found(docs, benchmark, k, containment).select(F.col("key").alias("__cc_key")).distinct()
-    return docs.withColumn("__cc_key", doc_key()).join(bad.hint("shuffle_hash"), "__cc_key", "left_anti").drop("__cc_key")
+    bad = _found(docs, benchmark, k, containment).select(F.col("key").alias("__cc_gone")).distinct()
+    return without(docs, doc_key(), bad)
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, k: int, containment: float) -> DataFrame:

@@ -202,6 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     rows = texts.mapInArrow(extract, "doc_id long, y int, x array<int>")
     # One task trains, on rows in one order whatever ran before it.
     one = rows.repartition(1).sortWithinPartitions("doc_id", F.xxhash64("x")).mapInArrow(learn, "bias double, w binary, v binary").first()
+    if one is None:  # no rows, no task
+        return train(np.zeros(1, int), np.zeros(0, int), np.zeros(0), p)
     return Model(one.bias, np.frombuffer(bytes(one.w), np.float32), np.frombuffer(bytes(one.v), np.float32).reshape(p.buckets, p.factors), p.threshold)
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._components import components
-from ._store import written
+from ._store import without, written
 
 BITS = 256
 WORDS = BITS // 64
@@ -238,5 +238,4 @@ def duplicates(docs: DataFrame, radius: int = RADIUS, target: float = 0.9) -> Da
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS, target: float = 0.9) -> DataFrame:
     """The rows of ``docs``, with all their columns, of the documents that stay."""
-    gone = duplicates(docs, radius, target).select(F.col("doc_id").alias("__cc_id"))
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__cc_id"], "left_anti")
+    return without(docs, docs["doc_id"], duplicates(docs, radius, target).select(F.col("doc_id").alias("__cc_gone")))
