@@ -3,8 +3,8 @@
     score(x) = w0 + sum_i w_i x_i + 1/2 sum_f [ (sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2 ]
 
 The second sum gives all pairwise interactions <v_i, v_j> x_i x_j in time linear in the active
-features (Rendle 2010). Features are binary: each distinct word of the whole text (hashed), one bin
-per structure statistic, and the language and source of the document.
+features (Rendle 2010). Features are binary: each distinct word of the whole text and its stems (hashed), one
+bin per structure statistic, and the language and source of the document.
 
 Training takes at most ``train_rows`` labelled documents, those whose ids hash lowest, in one task of
 the cluster; scoring is one pass over the documents without a shuffle.
@@ -31,6 +31,8 @@ from . import _text
 
 #: Features below this index are bins of structure statistics.
 WORDS_FROM = 256
+#: Lengths of the stems that longer words share, whatever their endings.
+STEMS = (4, 5, 6)
 _CLASS = {
     "upper": range(65, 91),
     "digit": range(48, 58),
@@ -52,7 +54,7 @@ class Params:
     l2: float = 1e-5
     min_docs: int = 4
     min_chi2: float = 10.0
-    threshold: float = 0.5
+    threshold: float = 0.7
 
 
 @dataclass(frozen=True)
@@ -100,11 +102,14 @@ def features(batch: pa.RecordBatch, buckets: int) -> Iterator[tuple[int, int, np
     for first, data, offs in _text.blocks(batch.column("text")):
         n = len(offs) - 1
         start, end, row = _text.spans(data, offs)
-        h = _text.hashes(data, start, end)
+        stems = [np.flatnonzero(end - start > n_) for n_ in STEMS]
+        h = _text.hashes(data, np.concatenate([start, *(start[x] for x in stems)]), np.concatenate([end, *(start[x] + n_ for x, n_ in zip(stems, STEMS))]))
+        h[len(start) :] = _text.mix(h[len(start) :] + np.uint64(1))  # a stem isn't the word that is spelt alike
         word = (h % np.uint64(buckets - WORDS_FROM)).astype(np.int64) + WORDS_FROM
+        of = np.concatenate([row, *(row[x] for x in stems)])
         bins = _bins(data, offs, np.bincount(row, minlength=n))
         rows = np.arange(n)
-        keys = [row * buckets + word]
+        keys = [of * buckets + word]
         keys += [rows * buckets + 16 * k + bins[:, k] for k in range(bins.shape[1])]
         keys += [rows * buckets + m[first : first + n] for m in meta]
         key = np.unique(np.concatenate(keys))

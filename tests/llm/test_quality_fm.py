@@ -35,9 +35,9 @@ def test_held_out_accuracy(corpus):
     docs, labels, truth = corpus
     model = fm.fit(docs, labels.where("doc_id % 4 <> 0"))
     got = {r.doc_id: r.score for r in fm.score(docs.where("doc_id % 4 = 0"), model).collect()}
-    right = sum((s >= 0.5) == truth[i] for i, s in got.items())
+    right = sum((s >= model.threshold) == truth[i] for i, s in got.items())
     assert right / len(got) > 0.97
-    assert {r.doc_id for r in fm.keep(docs.where("doc_id % 4 = 0"), model).collect()} == {i for i, s in got.items() if s >= 0.5}
+    assert {r.doc_id for r in fm.keep(docs.where("doc_id % 4 = 0"), model).collect()} == {i for i, s in got.items() if s >= model.threshold}
 
 
 def test_sum_of_squares_identity():
@@ -55,7 +55,7 @@ def test_interaction_is_learned():
     """Good only if exactly one of two features is there: no linear model can tell."""
     rng = np.random.default_rng(1)
     a, b = rng.random(2000) < 0.5, rng.random(2000) < 0.5
-    rows = [np.array([10] * x + [20] * z + [30], int) for x, z in zip(a, b)]
+    rows = [np.array([10] * int(x) + [20] * int(z) + [30], int) for x, z in zip(a, b)]
     ptr = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
     m = fm.train(ptr, np.concatenate(rows), (a ^ b).astype(float), fm.Params(buckets=512, epochs=200, rate=0.5))
     raw = m.raw(np.repeat(np.arange(2000), np.diff(ptr)), np.concatenate(rows), 2000)

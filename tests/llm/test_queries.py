@@ -53,7 +53,7 @@ def test_pipeline_equals_brute_force(spark):
 
     kept = stages["quality classifier"](spark, docs, folder)
     scores = {r.doc_id: r.score for r in fm.score(docs, fm.fit(docs, table("labels"))).collect()}
-    assert {i for i, _ in rows(kept)} == {i for i, s in scores.items() if s >= 0.5} and 0 < kept.count() < docs.count()
+    assert {i for i, _ in rows(kept)} == {i for i, s in scores.items() if s >= fm.Params().threshold} and 0 < kept.count() < docs.count()
     before = rows(kept)
 
     kept = stages["line dedup"](spark, kept, folder)
