@@ -3,17 +3,18 @@
     P(b | context) = l_0 / 256 + sum_{n=1..5} l_n c(n-gram) / c(its context of n - 1 bytes)
 
 The weights l depend on the bucket of the context: the longest order whose context was seen, and the binary
-logarithm of how often. They are learned by expectation-maximisation on held-out counts: documents whose hash
-falls into the held-out tenth count apart, the maximum-likelihood estimates come from the others. The final
-estimates count all documents, whole texts. Bytes need no word boundaries or vocabulary, and five of them are
-an exact key of one long. The start of a text is padded with zero bytes.
+logarithm of how often. Documents fall into two halves by hash. The estimates of each half are mixed by weights
+that expectation-maximisation learns on the counts of the other, which are held out from them, and a document is
+scored by the estimates of the half that it isn't in: its own n-grams, deleted, can't vouch for it. Together the
+halves are all documents, whole texts. Bytes need no word boundaries or vocabulary, and five of them are an exact
+key of one long. The start of a text is padded with zero bytes.
 
 Counting is one scan with map-side combining; n-grams of lower orders are sums over those of the highest. A
 table of up to ``BROADCAST_NGRAMS`` log probabilities is sent to every task. A larger one is joined: texts and
 their distinct n-grams are brought together by chunks of ``CHUNK_BYTES``, so no task needs the whole table.
 
 Defined cases: a null or empty text has no bytes, log probability 0 and null bits per byte; repeated rows count
-and are scored each; null ids stay null; with no held-out or no training text the weights are even; an empty
+and are scored each; null ids stay null; where one half is empty the weights are even and the other half's bytes are equally likely; an empty
 table gives no rows; extra columns are ignored.
 """
 
@@ -33,7 +34,8 @@ from ._store import written
 ORDER = 5
 BROADCAST_NGRAMS = 2_000_000
 CHUNK_BYTES = 32 << 20
-HELD_OUT = 10
+#: What each weight keeps of an even share, so that no byte is impossible.
+EVEN = 1e-4
 _MERGE = 4_000_000
 
 
@@ -79,14 +81,15 @@ class _Counter:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
+    """With a key, whose lowest bit is the half that a document is in."""
     key = F.xxhash64(F.coalesce("doc_id", F.lit(-(1 << 62))), F.coalesce("text", F.lit("")))
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
 
 
-def _count(batches: Iterator[pa.RecordBatch], held_out: int) -> _Counter:
+def _count(batches: Iterator[pa.RecordBatch]) -> _Counter:
     counter = _Counter()
     for b in batches:
-        out = b.column("key").to_numpy() % held_out == 0
+        out = b.column("key").to_numpy() % 2 == 1
         for first, data, offs in _text.blocks(b.column("text")):
             flag = np.repeat(out[first : first + len(offs) - 1], np.diff(offs))
             key = grams(data, offs)
@@ -95,28 +98,28 @@ def _count(batches: Iterator[pa.RecordBatch], held_out: int) -> _Counter:
     return counter
 
 
-def counts(docs: DataFrame, held_out: int = HELD_OUT) -> DataFrame:
-    """(gram, train, held): n-grams of the highest order over all documents."""
+def counts(docs: DataFrame) -> DataFrame:
+    """(gram, n0, n1): n-grams of the highest order in each half of the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, train, held = _count(batches, held_out).merge()
+        key, n0, n1 = _count(batches).merge()
         for i in range(0, len(key), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(_text.signed(key[i : i + 100_000])), pa.array(train[i : i + 100_000]), pa.array(held[i : i + 100_000])], ["gram", "train", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array(_text.signed(key[i : i + 100_000])), pa.array(n0[i : i + 100_000]), pa.array(n1[i : i + 100_000])], ["gram", "n0", "n1"])
 
-    return _texts(docs).mapInArrow(run, "gram long, train long, held long").groupBy("gram").agg(F.sum("train").alias("train"), F.sum("held").alias("held"))
+    return _texts(docs).mapInArrow(run, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def with_contexts(found: DataFrame) -> DataFrame:
-    """``found`` (gram, train, held) with the counts of each n-gram's suffixes (t1.. in training, a1.. in all) and of their contexts (tc1.., ac1..)."""
-    base = found.select("gram", "held", F.col("train").alias(f"t{ORDER}"), (F.col("train") + F.col("held")).alias(f"a{ORDER}"))
-    wide, table = base, base.select("gram", f"t{ORDER}", f"a{ORDER}")
+    """``found`` (gram, n0, n1) with the counts of each n-gram's suffixes (s1.. in half 0, t1.. in half 1) and of their contexts (sc1.., tc1..)."""
+    base = found.select("gram", "n0", "n1", F.col("n0").alias(f"s{ORDER}"), F.col("n1").alias(f"t{ORDER}"))
+    wide, table = base, base.select("gram", f"s{ORDER}", f"t{ORDER}")
     for n in range(ORDER, 0, -1):
         mask = (1 << 8 * n) - 1
         if n < ORDER:
-            table = table.groupBy(F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.sum(f"t{n + 1}").alias(f"t{n}"), F.sum(f"a{n + 1}").alias(f"a{n}"))
-        context = table.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum(f"t{n}").alias(f"tc{n}"), F.sum(f"a{n}").alias(f"ac{n}"))
+            table = table.groupBy(F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.sum(f"s{n + 1}").alias(f"s{n}"), F.sum(f"t{n + 1}").alias(f"t{n}"))
+        context = table.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum(f"s{n}").alias(f"sc{n}"), F.sum(f"t{n}").alias(f"tc{n}"))
         both = table.join(context, F.shiftright("gram", 8) == F.col("context")).drop("context")
-        wide = wide.drop(f"t{n}", f"a{n}").join(both.withColumnRenamed("gram", "suffix"), F.col("gram").bitwiseAND(mask) == F.col("suffix")).drop("suffix")
+        wide = wide.drop(f"s{n}", f"t{n}").join(both.withColumnRenamed("gram", "suffix"), F.col("gram").bitwiseAND(mask) == F.col("suffix")).drop("suffix")
     return wide
 
 
@@ -137,10 +140,16 @@ def _even(bucket: int) -> list[float]:
     return [1 / (n + 1)] * (n + 1) + [0.0] * (ORDER - n)
 
 
+def held_out(wide: DataFrame) -> DataFrame:
+    """(held, bucket, f1..): how often each n-gram occurs in one half, and its estimates of the other."""
+    a = wide.where("n0 > 0").select(F.col("n0").alias("held"), _bucket("tc").alias("bucket"), *_estimates("t", "tc"))
+    return a.unionByName(wide.where("n1 > 0").select(F.col("n1").alias("held"), _bucket("sc").alias("bucket"), *_estimates("s", "sc")))
+
+
 def learn(wide: DataFrame, rounds: int = 30, tolerance: float = 1e-4) -> dict[int, list[float]]:
     """Weights of each bucket, by expectation-maximisation on the held-out counts; at most 64 buckets an order."""
     spark = wide.sparkSession
-    held = written(wide.where("held > 0").select("held", _bucket("tc").alias("bucket"), *_estimates("t", "tc")), "held-out")
+    held = written(held_out(wide), "held-out")
     weights = {r["bucket"]: _even(r["bucket"]) for r in held.select("bucket").distinct().collect()}
     before = -math.inf
     for _ in range(rounds):
@@ -161,59 +170,73 @@ def learn(wide: DataFrame, rounds: int = 30, tolerance: float = 1e-4) -> dict[in
 def weight_of(bucket: int, learned: dict[int, list[float]]) -> list[float]:
     """The weights of a bucket or, where none were learned, of the nearest frequency of its order; even ones where that has none."""
     same = [b for b in learned if b // 64 == bucket // 64]
-    return learned[min(same, key=lambda b: (abs(b - bucket), b))] if same else _even(bucket)
+    even = _even(bucket)
+    best = learned[min(same, key=lambda b: (abs(b - bucket), b))] if same else even
+    return [(1 - EVEN) * x + EVEN * y for x, y in zip(best, even)]
 
 
 def probabilities(wide: DataFrame, learned: dict[int, list[float]]) -> DataFrame:
-    """(gram, logp) with the counts of all documents."""
-    rows = [(b, *weight_of(b, learned)) for n in range(ORDER + 1) for b in range(64 * n, 64 * n + 64)]
-    table = wide.sparkSession.createDataFrame(rows, "bucket int, " + ", ".join(f"w{n} double" for n in range(ORDER + 1)))
-    p = F.col("w0") / 256
-    for n in range(1, ORDER + 1):
-        p = p + F.col(f"w{n}") * F.col(f"f{n}")
-    return wide.select("gram", _bucket("ac").alias("bucket"), *_estimates("a", "ac")).join(F.broadcast(table), "bucket").select("gram", F.log(p).alias("logp"))
+    """(gram, logp0, logp1): for documents of either half, by the estimates of the other."""
+    rows = [(b, weight_of(b, learned)) for n in range(ORDER + 1) for b in range(64 * n, 64 * n + 64)]
+    table = F.broadcast(wide.sparkSession.createDataFrame(rows, "bucket int, w array<double>"))  # 64 rows an order
+
+    def logp(side: DataFrame, count: str, name: str) -> DataFrame:
+        f = [x for x in _estimates(count, f"{count}c")]
+        p = F.col("w")[0] / 256
+        for n in range(1, ORDER + 1):
+            p = p + F.col("w")[n] * f[n - 1]
+        joined = side.withColumn("bucket", _bucket(f"{count}c")).join(table, "bucket")
+        return joined.withColumn(name, F.log(p).cast("float")).drop("bucket", "w")
 
+    return logp(logp(wide, "t", "logp0"), "s", "logp1").select("gram", "logp0", "logp1")
 
-def _scored(ids: pa.Array, texts: pa.Array | pa.ChunkedArray, find: _text.Lookup, logp: np.ndarray) -> Iterator[list[pa.Array]]:
+
+def _scored(ids: pa.Array, half: np.ndarray, texts: pa.Array | pa.ChunkedArray, find: _text.Lookup, logp: np.ndarray) -> Iterator[list[pa.Array]]:
+    """``logp[i]`` belongs to half i."""
     for first, data, offs in _text.blocks(texts):
-        total = np.concatenate(([0.0], np.cumsum(logp[find(grams(data, offs))])))
+        own = np.repeat(half[first : first + len(offs) - 1], np.diff(offs))
+        total = np.concatenate(([0.0], np.cumsum(logp[own, find(grams(data, offs))], dtype=np.float64)))
         # sums of a block's own prefix keep their digits: a block is about a megabyte
         yield [ids.slice(first, len(offs) - 1), pa.array(np.diff(offs)), pa.array(total[offs[1:]] - total[offs[:-1]])]
 
 
-def scores(docs: DataFrame, held_out: int = HELD_OUT, most: int = BROADCAST_NGRAMS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def _halves(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy() for c in ("logp0", "logp1")])
+
+
+def scores(docs: DataFrame, most: int = BROADCAST_NGRAMS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, n_bytes, logprob, bits_per_byte) of each document."""
-    wide = written(with_contexts(written(counts(docs, held_out), "ngrams")), "ngram-contexts")
+    wide = written(with_contexts(written(counts(docs), "ngrams")), "ngram-contexts")
     table = written(probabilities(wide, learn(wide)), "ngram-probabilities")
     schema, names = "doc_id long, n_bytes long, logprob double", ["doc_id", "n_bytes", "logprob"]
     if table.count() <= most:
         pairs = table.toArrow()
-        keys, logp = pairs.column("gram").to_numpy().view(np.uint64), pairs.column("logp").to_numpy()
+        keys, logp = pairs.column("gram").to_numpy().view(np.uint64), _halves(pairs)
         sent = docs.sparkSession.sparkContext.broadcast((keys, logp))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             find = _text.Lookup(sent.value[0])
             for b in batches:
-                for x in _scored(b.column("doc_id"), b.column("text"), find, sent.value[1]):
+                for x in _scored(b.column("doc_id"), b.column("key").to_numpy() % 2, b.column("text"), find, sent.value[1]):
                     yield pa.RecordBatch.from_arrays(x, names)
 
-        out = _texts(docs).select("doc_id", "text").mapInArrow(run, schema)
+        out = _texts(docs).mapInArrow(run, schema)
     else:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         chunks = max(1, -(-size // chunk_bytes))
         texts = _texts(docs).withColumn("chunk", F.pmod("key", F.lit(chunks)))
 
         def distinct(group: pa.Table) -> pa.Table:
-            key, _, _ = _count(iter(group.to_batches()), held_out).merge()
+            key, _, _ = _count(iter(group.to_batches())).merge()
             return pa.table({"chunk": pa.repeat(group.column("chunk")[0], len(key)), "gram": _text.signed(key)})
 
         def score(group: pa.Table, known: pa.Table) -> pa.Table:
             group, known = group.combine_chunks(), known.combine_chunks()
             find = _text.Lookup(known.column("gram").to_numpy().view(np.uint64))
-            logp = known.column("logp").to_numpy()
-            parts = [pa.table(x, names=names) for x in _scored(group.column("doc_id"), group.column("text"), find, logp)]
+            half = group.column("key").to_numpy() % 2
+            parts = [pa.table(x, names=names) for x in _scored(group.column("doc_id"), half, group.column("text"), find, _halves(known))]
             return pa.concat_tables(parts)
 
-        own = texts.groupBy("chunk").applyInArrow(distinct, "chunk long, gram long").join(table, "gram").select("chunk", "gram", "logp")
+        own = texts.groupBy("chunk").applyInArrow(distinct, "chunk long, gram long").join(table, "gram").select("chunk", "gram", "logp0", "logp1")
         out = texts.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(score, schema)
     return out.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, -F.col("logprob") / F.col("n_bytes") / math.log(2)))

@@ -6,33 +6,38 @@ import pytest
 
 from ctxcost.llm import lm_scoring as lm
 
-from .conftest import prose
+from .conftest import prose, words
 
 
-def brute(rows, weights, bucket_weight):
-    """Log probability of each text with the given weights, by plain counting."""
+def brute(rows, halves, weights, bucket_weight):
+    """Log probability of each text by the other half's counts and the given weights, by plain counting."""
     n = lm.ORDER
-    grams = [Counter() for _ in range(n + 1)]
-    contexts = [Counter() for _ in range(n + 1)]
-    for _, t in rows:
+    grams = [[Counter() for _ in range(n + 1)] for _ in range(2)]
+    contexts = [[Counter() for _ in range(n + 1)] for _ in range(2)]
+    for (_, t), h in zip(rows, halves):
         data = bytes(n - 1) + (t or "").encode()
         for i in range(n - 1, len(data)):
             for k in range(1, n + 1):
-                grams[k][data[i - k + 1 : i + 1]] += 1
-                contexts[k][data[i - k + 1 : i]] += 1
+                grams[h][k][data[i - k + 1 : i + 1]] += 1
+                contexts[h][k][data[i - k + 1 : i]] += 1
     out = []
-    for _, t in rows:
-        data, total = bytes(n - 1) + (t or "").encode(), 0.0
+    for (_, t), h in zip(rows, halves):
+        data, total, g, c = bytes(n - 1) + (t or "").encode(), 0.0, grams[1 - h], contexts[1 - h]
         for i in range(n - 1, len(data)):
-            seen = max(k for k in range(1, n + 1) if contexts[k][data[i - k + 1 : i]])
-            c = contexts[seen][data[i - seen + 1 : i]]
-            w = bucket_weight(64 * seen + int(math.log2(c)), weights)
-            p = w[0] / 256 + sum(w[k] * grams[k][data[i - k + 1 : i + 1]] / contexts[k][data[i - k + 1 : i]] for k in range(1, n + 1) if contexts[k][data[i - k + 1 : i]])
+            seen = max([k for k in range(1, n + 1) if c[k][data[i - k + 1 : i]]], default=0)
+            often = c[seen][data[i - seen + 1 : i]] if seen else 1
+            w = bucket_weight(64 * seen + int(math.log2(often)), weights)
+            p = w[0] / 256 + sum(w[k] * g[k][data[i - k + 1 : i + 1]] / c[k][data[i - k + 1 : i]] for k in range(1, n + 1) if c[k][data[i - k + 1 : i]])
             total += math.log(p)
         out.append(total)
     return out
 
 
+def halves_of(df, rows):
+    known = {r.doc_id: r.key % 2 for r in lm._texts(df).collect()}
+    return [known[i] for i, _ in rows]
+
+
 @pytest.fixture(scope="module")
 def rows():
     rng = random.Random(1)
@@ -46,16 +51,16 @@ def test_scores_equal_brute_force(make, rows, monkeypatch):
     monkeypatch.setattr(lm, "learn", lambda wide: learned.setdefault("w", real(wide)))
     got = {r.doc_id: r for r in lm.scores(make(rows)).collect()}
     assert learned["w"] and all(abs(sum(w) - 1) < 1e-9 for w in learned["w"].values())
-    for (i, t), want in zip(rows, brute(rows, learned["w"], lm.weight_of)):
+    for (i, t), want in zip(rows, brute(rows, halves_of(make(rows), rows), learned["w"], lm.weight_of)):
         assert got[i].n_bytes == len(t.encode())
-        assert got[i].logprob == pytest.approx(want, rel=1e-9)
-        assert got[i].bits_per_byte == pytest.approx(-want / len(t.encode()) / math.log(2))
+        assert got[i].logprob == pytest.approx(want, rel=1e-5)
+        assert got[i].bits_per_byte == pytest.approx(-want / len(t.encode()) / math.log(2), rel=1e-5)
 
 
 def test_em_raises_the_held_out_likelihood(make, rows):
     wide = lm.with_contexts(lm.counts(make(rows)))
     one, many = lm.learn(wide, rounds=1), lm.learn(wide, rounds=20)
-    held = wide.where("held > 0").select("held", lm._bucket("tc").alias("b"), *lm._estimates("t", "tc")).collect()
+    held = lm.held_out(wide).withColumnRenamed("bucket", "b").collect()
 
     def fit(weights):
         return sum(r.held * math.log(weights[r.b][0] / 256 + sum(weights[r.b][k] * r[f"f{k}"] for k in range(1, lm.ORDER + 1))) for r in held)
@@ -66,14 +71,16 @@ def test_em_raises_the_held_out_likelihood(make, rows):
 def test_both_ways_agree(make, rows):
     a = {r.doc_id: r.logprob for r in lm.scores(make(rows)).collect()}
     b = {r.doc_id: r.logprob for r in lm.scores(make(rows), most=0, chunk_bytes=2000).collect()}
-    assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], rel=1e-9) for i in a)
+    assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], rel=1e-6) for i in a)
 
 
-def test_natural_text_is_likelier_than_noise(make, rows):
+def test_text_of_the_corpus_is_likelier_than_noise(make):
     rng = random.Random(3)
+    vocabulary = words(rng, 80)
+    rows = [(i, " ".join(rng.choices(vocabulary, k=80))) for i in range(80)]
     noise = "".join(rng.choices("qzxjkv#%&0123456789", k=400))
     got = {r.doc_id: r.bits_per_byte for r in lm.scores(make([*rows, (99, noise)])).collect()}
-    assert got[99] > max(v for i, v in got.items() if i != 99)
+    assert got[99] > 2 * max(v for i, v in got.items() if i != 99)
 
 
 def test_odd_rows_and_empty(make, odd_rows):
