@@ -1,0 +1 @@
+"""There is nothing here: what this engine reproduces has no streaming operator, and one without a model to check against would be a guess."""
