@@ -45,9 +45,10 @@ def least_count(p: float, m: int, recall: float) -> int:
 
 
 class Plan:
-    """Tables, cells and counts for ``n`` vectors at a cosine threshold."""
+    """Tables, cells and counts for ``n`` vectors at a cosine threshold; ``kind`` is the type of their numbers."""
 
-    def __init__(self, n: int, threshold: float, recall: float):
+    def __init__(self, n: int, threshold: float, recall: float, kind: str = "f8"):
+        self.kind = kind
         self.radius = math.sqrt(max(2 - 2 * threshold, 1e-6))
         self.half = self.radius
         near = math.erf(1 / math.sqrt(2))  # of colliding in a projection, at the radius
@@ -70,31 +71,32 @@ def _directions(dim: int, cells: int, tables: int) -> tuple[np.ndarray, np.ndarr
     return count, cell, np.random.Generator(np.random.PCG64([dim, 2])).random((tables, cells))
 
 
-def _vectors(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, unit vectors) of the usable rows, by length."""
+def _vectors(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, vectors as they are, unit vectors) of the usable rows, by length."""
     col = b.column("embedding")
     ok = col.is_valid().to_numpy(zero_copy_only=False) & b.column("id").is_valid().to_numpy(zero_copy_only=False)
     sizes = np.where(ok, col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
     for d in np.unique(sizes[sizes > 0]).tolist():
         at = np.flatnonzero(sizes == d)
-        x = col.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+        raw = col.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        x = raw.astype(np.float64)
         with np.errstate(all="ignore"):
             size = np.sqrt((x * x).sum(1))
         use = np.isfinite(size) & (size > 0)
-        yield b.column("id").take(pa.array(at[use])).to_numpy(), x[use] / size[use, None]
+        yield b.column("id").take(pa.array(at[use])).to_numpy(), raw[use], x[use] / size[use, None]
 
 
 def _spread(batches: Iterator[pa.RecordBatch], p: Plan) -> Iterator[pa.RecordBatch]:
     """(slab, own, x, id, q, v): each vector in its slab of each table, and in the one before if it is near its lower end."""
     width, slab = _CELL * p.radius, _SLAB * p.half
     for b in batches:
-        for ids, v in _vectors(b):
+        for ids, raw, v in _vectors(b):
             count, cell, offset = _directions(v.shape[1], p.cells, p.tables)
             x = v @ count.T
             q = np.floor(x / p.half * _STEPS + 0.5).astype(np.int64).astype(np.uint8)
             qs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(PROJECTIONS), len(q), [None, pa.py_buffer(np.ascontiguousarray(q))]).cast(pa.binary())
-            raw = np.ascontiguousarray(v, np.float64)
-            vs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * v.shape[1]), len(v), [None, pa.py_buffer(raw)]).cast(pa.binary())
+            raw = np.ascontiguousarray(raw, p.kind)
+            vs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(raw.itemsize * v.shape[1]), len(v), [None, pa.py_buffer(raw)]).cast(pa.binary())
             for t in range(p.tables):
                 sort = x[:, t % PROJECTIONS]
                 key = np.full(len(v), v.shape[1] * 1_000_003 + t, np.uint64)
@@ -114,7 +116,11 @@ def _pairs(group: pa.Table, p: Plan) -> pa.Table:
     by = np.lexsort((ids, x))
     x, own, ids = x[by], own[by], ids[by]
     q = np.frombuffer(b"".join(group.column("q").to_pylist()), np.uint8).reshape(len(x), -1)[by]
-    v = np.frombuffer(b"".join(group.column("v").to_pylist()), np.float64).reshape(len(x), -1)[by] if len({len(s) for s in group.column("v").to_pylist()}) == 1 else None
+    raw = group.column("v").to_pylist()
+    v = None
+    if len(set(map(len, raw))) == 1:
+        v = np.frombuffer(b"".join(raw), p.kind).astype(np.float64).reshape(len(x), -1)[by]
+        v /= np.sqrt((v * v).sum(1))[:, None]
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     if v is not None:
         columns = np.ascontiguousarray(q.T)
@@ -143,6 +149,7 @@ def _pairs(group: pa.Table, p: Plan) -> pa.Table:
 def near_pairs(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.98, id_: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs of vectors with a cosine of at least ``threshold``."""
     rows = vectors.select(F.col(id_).cast("long").alias("id"), F.col(embedding).alias("embedding"))
-    p = Plan(rows.count(), threshold, recall)
+    kind = "f4" if "array<float>" == rows.schema["embedding"].dataType.simpleString() else "f8"
+    p = Plan(rows.count(), threshold, recall, kind)
     spread = rows.mapInArrow(lambda it: _spread(it, p), "slab long, own boolean, x double, id long, q binary, v binary")
     return spread.groupBy("slab").applyInArrow(lambda g: _pairs(g, p), "id_a long, id_b long").distinct()

@@ -49,6 +49,12 @@ def test_many_tables(spark, vectors, monkeypatch):
     assert got <= want and len(got) / len(want) >= 0.93
 
 
+def test_doubles_are_compared_as_doubles(spark):
+    v = [[1.0, 1e-9], [1.0, 0.0], [0.3, 0.95393920141694565]]
+    df = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")
+    assert [(r.id_a, r.id_b) for r in ec.near_pairs(df, threshold=1 - 1e-12).collect()] == [(0, 1)]
+
+
 def test_count_keeps_its_recall():
     for p in (0.5, 0.68, 0.9):
         for m in (16, 32):
