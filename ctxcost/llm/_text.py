@@ -100,6 +100,18 @@ def shingles(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return g[at], at
 
 
+def runs(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``shingles``, at a cost that doesn't grow with ``k``."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    p, inv = _powers(len(h))
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * p[: len(h)], out=total[1:])
+    at = np.flatnonzero(row[:n] == row[k - 1 :])
+    return mix((total[at + k] - total[at]) * inv[at]), at
+
+
 class Lookup:
     """Index of each key in a table of distinct unsigned keys, -1 where absent; open addressing, a quarter full at most."""
 

@@ -10,6 +10,11 @@ are no part of a window but go when a removed window spans them. A window of few
 bytes is no evidence of copying and is left alone. The first occurrence is that of the lowest doc_id (null ids
 last), then the lowest position. A repeat within a document is a repeat too.
 
+Lines depend on where a sentence begins, and short lines make windows below ``MIN_BYTES``, so ``without_passages`` takes
+what ``cleaned`` leaves and removes every run of ``PASSAGE`` words that occurred earlier, wherever lines end. Candidates come from
+shorter runs of ``RUN`` words, of each ``NEAR`` consecutive ones that of the least hash (the last of equals): that depends on
+content alone, so two equal passages have such a run in common. Only runs around those that repeat are then compared.
+
 Defined cases: null and empty texts, and texts of fewer than three lines, are unchanged; rows with the same
 id and text are one document and all change alike; a text whose every line goes becomes empty, and
 ``cleaned`` drops it on request; n_chars, where the table has it, follows the text; extra columns pass through unchanged.
@@ -27,13 +32,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _text
+from ._store import BROADCAST_KEYS, written
 
 LINES = 3
 WORDS = 12
 MIN_BYTES = 30
+PASSAGE = 50
+RUN = 30
+NEAR = 20  # RUN + NEAR - 1 words always hold a chosen run; no more than PASSAGE
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _STOP = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 _LAST = (1 << 63) - 1
+_FOUND = "id long, key long, span long, h long, size int"
 
 
 def lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,30 +63,65 @@ def lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, ink[np.searchsorted(ink, starts)], np.concatenate(([-1], ink))[np.searchsorted(ink, ends)] + 1
 
 
+def _found(batch: pa.RecordBatch, rows: np.ndarray, span: np.ndarray, h: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    at = pa.array(rows)
+    return pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("key").take(at), pa.array(span), pa.array(_text.signed(h)), pa.array(size.astype(np.int32))], ["id", "key", "span", "h", "size"])
+
+
 def windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """(id, key, span, h, size) of each window; ``span`` is its first line in the upper 32 bits and its last in the lower."""
+    """(id, key, span, h, size) of each window; ``span`` is its first byte in the upper 32 bits and its end in the lower."""
     for first, data, offs in _text.blocks(batch.column("text")):
-        starts, _, a, b = lines(data, offs)
+        starts, ends, a, b = lines(data, offs)
         row = np.searchsorted(offs, starts, "right") - 1
-        number = np.arange(len(starts)) - np.searchsorted(row, row)
         full = np.flatnonzero(a < b)
         h, at = _text.shingles(_text.hashes(data, a[full], b[full], fold=False), row[full], LINES)
         size = np.concatenate(([0], np.cumsum(b[full] - a[full])))
         size = size[at + LINES] - size[at]
         h, at, size = h[size >= MIN_BYTES], at[size >= MIN_BYTES], size[size >= MIN_BYTES]
-        rows = pa.array(first + row[full[at]])
-        span = number[full[at]] << 32 | number[full[at + LINES - 1]]
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("key").take(rows), pa.array(span), pa.array(_text.signed(h)), pa.array(size.astype(np.int32))], ["id", "key", "span", "h", "size"])
+        own = row[full[at]]
+        span = (starts[full[at]] - offs[own]) << 32 | (ends[full[at + LINES - 1]] - offs[own])
+        yield _found(batch, first + own, span, h, size)
+
+
+def runs(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, span, hash) of every ``k`` consecutive words of a text; white space after a run is its own."""
+    for first, data, offs in _text.blocks(batch.column("text")):
+        a, b, row = _text.spans(data, offs, ~_SPACE)
+        h, at = _text.runs(_text.hashes(data, a, b, fold=False), row, k)
+        own = row[at]
+        end = np.minimum(np.append(a, len(data))[at + k], offs[own + 1])
+        yield first + own, (a[at] - offs[own]) << 32 | (end - offs[own]), h
+
+
+def least(row: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which runs are of the least hash, the last of equals, among some ``NEAR`` consecutive ones of a text."""
+    if len(h) < NEAR:
+        return np.zeros(0, np.int64)
+    at = np.flatnonzero(row[: len(h) - NEAR + 1] == row[NEAR - 1 :])
+    return np.unique(at + NEAR - 1 - np.lib.stride_tricks.sliding_window_view(h, NEAR)[at, ::-1].argmin(1))
 
 
 def without(text: bytes, spans: np.ndarray) -> bytes:
-    """``text`` without the lines that the spans cover."""
-    data = np.frombuffer(text, np.uint8)
-    starts, ends, _, _ = lines(data, np.array([0, len(data)]))
-    step = np.zeros(len(starts) + 1, np.int64)
-    np.add.at(step, spans >> 32, 1)
-    np.add.at(step, (spans & 0xFFFFFFFF) + 1, -1)
-    return b"".join(text[starts[i] : ends[i]] for i in np.flatnonzero(np.cumsum(step)[:-1] == 0))
+    """``text`` without the bytes that the spans cover."""
+    out, at = [], 0
+    for span in np.sort(spans).tolist():
+        start, end = span >> 32, span & 0xFFFFFFFF
+        if start > at:
+            out.append(text[at:start])
+        at = max(at, end)
+    return b"".join((*out, text[at:]))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("key"), "text")
+
+
+def _later(found: DataFrame) -> DataFrame:
+    """(id, key, spans): what of ``found`` occurs earlier, in its document or in another."""
+    # Rows of one document repeat each other's windows at the same place; rank, not row_number, leaves those alike.
+    order = W.partitionBy("h", "size").orderBy("id", "key", "span")
+    later = found.withColumn("place", F.rank().over(order)).where("place > 1")
+    return later.groupBy("id", "key").agg(F.collect_set("span").alias("spans"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -86,20 +131,59 @@ def repeats(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield from windows(b)
 
-    texts = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("key"), "text")
-    found = texts.mapInArrow(run, "id long, key long, span long, h long, size int")
-    # Rows of one document repeat each other's windows at the same place; rank, not row_number, leaves those alike.
-    order = W.partitionBy("h", "size").orderBy("id", "key", "span")
-    later = found.withColumn("place", F.rank().over(order)).where("place > 1")
-    return later.groupBy("id", "key").agg(F.collect_set("span").alias("spans"))
+    return _later(_texts(docs).mapInArrow(run, _FOUND))
+
+
+def _few(spans: DataFrame) -> DataFrame:
+    """``spans`` (id, key, spans) to be joined with texts, which aren't shuffled where the spans are few."""
+    spans = written(spans, "spans")
+    n = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
+    return F.broadcast(spans) if n <= BROADCAST_KEYS else spans.hint("shuffle_hash")
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """(id, key, spans): the runs of ``PASSAGE`` words of each document that occur earlier, in it or in another."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, span, h in runs(b, RUN):
+                at = least(row, h)
+                yield _found(b, row[at], span[at], h[at], np.full(len(at), RUN))
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = b.column("spans")
+            of, flat = np.repeat(np.arange(b.num_rows), pc.list_value_length(spans).to_numpy()), spans.flatten().to_numpy()
+            by = np.lexsort((flat, of))
+            chosen, ends = np.append((of << 32 | flat >> 32)[by], _LAST), np.append((flat & 0xFFFFFFFF)[by], _LAST)
+            for row, span, h in runs(b, PASSAGE):
+                # the first chosen run that begins in this one ends first, too
+                at = np.searchsorted(chosen, row << 32 | span >> 32)
+                own = chosen[at] >> 32 == row
+                near = np.flatnonzero(own & (ends[at] <= span & 0xFFFFFFFF))
+                yield _found(b, row[near], span[near], h[near], np.full(len(near), PASSAGE))
+
+    texts = _texts(docs)
+    often = texts.mapInArrow(choose, _FOUND).withColumn("n", F.count("*").over(W.partitionBy("h"))).where("n > 1")
+    candidates = _few(often.groupBy("id", "key").agg(F.collect_set("span").alias("spans")))
+    return _later(texts.join(candidates, ["id", "key"]).mapInArrow(around, _FOUND))
 
 
 def cleaned(docs: DataFrame, drop_empty: bool = False) -> DataFrame:
     """``docs`` with its later windows removed from ``text``; with ``drop_empty``, rows go whose text ends up blank (or was)."""
+    return _rewritten(docs, repeats(docs).hint("shuffle_hash"), drop_empty)
+
+
+def without_passages(docs: DataFrame, drop_empty: bool = False) -> DataFrame:
+    """``docs`` with its later runs of ``PASSAGE`` words removed from ``text``; ``drop_empty`` as for ``cleaned``. Reads ``docs`` several times."""
+    return _rewritten(docs, _few(repeated_runs(docs)), drop_empty)
+
+
+def _rewritten(docs: DataFrame, found: DataFrame, drop_empty: bool) -> DataFrame:
     schema = docs.schema
     keyed = docs.withColumns({"__cc_id": F.coalesce("doc_id", F.lit(_LAST)), "__cc_key": F.xxhash64("text")})
-    found = repeats(docs).select(F.col("id").alias("__cc_id"), F.col("key").alias("__cc_key"), F.col("spans").alias("__cc_spans"))
-    joined = keyed.join(found.hint("shuffle_hash"), ["__cc_id", "__cc_key"], "left").drop("__cc_id", "__cc_key")
+    found = found.withColumnsRenamed({"id": "__cc_id", "key": "__cc_key", "spans": "__cc_spans"})
+    joined = keyed.join(found, ["__cc_id", "__cc_key"], "left").drop("__cc_id", "__cc_key")
     counts = "n_chars" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

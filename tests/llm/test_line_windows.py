@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from ctxcost.llm import line_windows as lw
 
 from .conftest import prose, words
@@ -97,3 +98,51 @@ def test_null_ids_come_last(make):
     text = prose(rng)
     got = lw.cleaned(make([(None, text), (7, text)])).collect()
     assert {(r.doc_id, r.text) for r in got} == {(7, text), (None, "")}
+
+
+def brute_passages(docs):
+    """{row: words that stay}, by comparing all runs of words."""
+    seen, out = set(), {}
+    for row in sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0)):
+        w = re.split(f"[{SPACE}]+", (docs[row][1] or "").strip(SPACE))
+        gone = set()
+        for i in range(len(w) - lw.PASSAGE + 1):
+            run = tuple(w[i : i + lw.PASSAGE])
+            if run in seen:
+                gone |= set(range(i, i + lw.PASSAGE))
+            seen.add(run)
+        out[row] = [x for i, x in enumerate(w) if i not in gone and x]
+    return out
+
+
+def kept_words(spark, rows, make):
+    got = corpus_pipeline.dedup_lines(spark, make(rows), "")
+    return {r.doc_id: r.text.split() for r in got.collect()}
+
+
+def test_a_passage_goes_at_each_word_offset(spark, make):
+    """The pipeline's stage removes a passage without a mark, however many words of its sentence come before."""
+    rng = random.Random(15)
+    sizes = (50, 60, 200, 2000)
+    passages = [words(rng, n) for n in sizes]
+    rows = [(n, " ".join(p)) for n, p in enumerate(passages)]
+    rows += [(100 * n + 100 + k, " ".join(words(rng, k) + p + words(rng, 3))) for n, p in enumerate(passages) for k in range(13)]
+    got = kept_words(spark, rows, make)
+    for n, p in enumerate(passages):
+        first = {tuple(p[i : i + 50]) for i in range(len(p) - 49)}
+        assert got[n] == p
+        for k in range(13):
+            w = got[100 * n + 100 + k]
+            assert not any(tuple(w[i : i + 50]) in first for i in range(len(w) - 49))
+
+
+def test_passages_equal_brute_force(make, docs):
+    rng = random.Random(16)
+    passage = words(rng, 300)
+    rows = docs + [(300 + i, " ".join(words(rng, i) + passage[i : i + 49 + i % 3] + ["x"] * (i % 70))) for i in range(100)]
+    rows += [(None, " ".join(["é"] + passage[:120])), (None, None), (400, ""), (401, "one"), (402, "  ")]
+    got = {(r.doc_id, tuple((r.text or "").split())) for r in lw.without_passages(make(rows)).collect()}
+    want = brute_passages(rows)
+    assert got == {(rows[n][0], tuple(w)) for n, w in want.items()}
+    assert sum(w != re.split(f"[{SPACE}]+", (rows[n][1] or "").strip(SPACE)) for n, w in want.items()) > 60
+    assert lw.without_passages(make([])).collect() == []
