@@ -146,3 +146,14 @@ def test_passages_equal_brute_force(make, docs):
     assert got == {(rows[n][0], tuple(w)) for n, w in want.items()}
     assert sum(w != re.split(f"[{SPACE}]+", (rows[n][1] or "").strip(SPACE)) for n, w in want.items()) > 60
     assert lw.without_passages(make([])).collect() == []
+
+
+def test_a_passage_of_short_lines_goes(spark, make):
+    """Lines of one short word make no window of MIN_BYTES bytes, but a long passage of them goes."""
+    rng = random.Random(17)
+    passage = [f"{w[:4]}!!" for w in words(rng, 163)]
+    assert max(len("".join(passage[i : i + 3])) for i in range(161)) < lw.MIN_BYTES
+    rows = [(i, "\n".join(words(rng, 4) + passage + words(rng, 4))) for i in range(3)] + [(9, "onti. " * 120)]
+    got = kept_words(spark, rows, make)
+    assert got[0] == rows[0][1].split() and got[9] == ["onti."]
+    assert all(not set(got[i]) & set(passage) and len(got[i]) == 8 for i in (1, 2))
