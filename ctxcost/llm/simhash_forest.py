@@ -102,6 +102,11 @@ def plan(n: int, radius: int, target: float) -> tuple[int, int]:
         tries += 1
 
 
+def halved(target: float) -> float:
+    """The target of a level that spends half of what may be lost; the levels below it share the other half in the same way."""
+    return 1 - (1 - target) / 2
+
+
 def _order(seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).permutation(BITS)
 
@@ -150,7 +155,8 @@ def links(f: np.ndarray, radius: int, target: float, level: int = 1) -> np.ndarr
     n = len(f)
     if n <= 4 * LEAF or level > 6:
         return _stars(*_near(f, radius), n)
-    tries, depth = plan(n, radius, 1 - (1 - target) / 2)
+    target = halved(target)
+    tries, depth = plan(n, radius, target)
     a, b = [], []
     for t in range(tries):
         key = prefixes(f, _order(1000 * level + t), depth)
@@ -179,6 +185,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def near_edges(distinct: DataFrame, radius: int, target: float) -> DataFrame:
     """(a, b): ids of ``distinct`` (id, f0, f1, …) that connect every group that the forest finds."""
+    target = halved(target)  # a pair is found with the asked probability however many levels of forests it is in
     tries, depth = plan(distinct.count(), radius, target)
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

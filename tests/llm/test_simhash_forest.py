@@ -119,3 +119,26 @@ def test_odd_rows_and_empty(make, odd_rows):
     assert sf.duplicates(make([])).collect() == [] and sf.deduplicated(make([])).collect() == []
     one = [(3, "word"), (1, "word"), (2, "word word"), (None, "word")]
     assert {(r.doc_id, r.duplicate_of) for r in sf.duplicates(make(one)).collect()} >= {(3, 1)}
+
+
+def test_levels_share_what_may_be_lost(spark, monkeypatch):
+    """The targets of the top forest and of each level below it multiply to the one asked, at least."""
+    f = np.tile(np.random.default_rng(24).integers(0, 1 << 63, sf.WORDS, dtype=np.uint64), (200, 1))
+    f[:, 0] ^= np.arange(200, dtype=np.uint64)
+    df = spark.createDataFrame([(i, *map(int, f[i].view(np.int64))) for i in range(20)], "id long, " + ", ".join(f"f{w} long" for w in range(sf.WORDS)))
+    asked = []
+
+    def planned(n, radius, target):
+        asked.append(target)
+        return 1, 1
+
+    monkeypatch.setattr(sf, "plan", planned)
+    monkeypatch.setattr(sf, "LEAF", 16)
+    passed, links = [], sf.links
+    monkeypatch.setattr(sf, "_order", lambda seed: np.arange(sf.BITS)[::-1])  # a bit that all share: each level has one node, all of it
+    sf.near_edges(df, sf.RADIUS, 0.9)
+    monkeypatch.setattr(sf, "links", lambda f, radius, target, level=1: passed.append(target) or np.zeros(len(f), int))
+    f[0, -1] ^= np.uint64(1) << np.uint64(63)  # one apart, so that the node is smaller than the whole
+    links(f, sf.RADIUS, asked[0])
+    links(f, sf.RADIUS, passed[-1], 2)
+    assert len(asked) == 3 and np.prod(asked) >= 0.9
