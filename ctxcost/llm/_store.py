@@ -38,6 +38,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
 BROADCAST_KEYS = 500_000
 
 
+def few(side: DataFrame) -> DataFrame:
+    """A written table as a side of a join: sent to every executor up to ``BROADCAST_KEYS`` rows of a few numbers, shuffled beyond that."""
+    return F.broadcast(side) if side.count() <= BROADCAST_KEYS else side
+
+
 def without(docs: DataFrame, on: Column, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose ``on`` isn't a key of ``gone`` (one column, __cc_gone); where those are few, texts aren't shuffled."""
     gone = written(gone, "gone")

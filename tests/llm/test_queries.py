@@ -28,7 +28,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_ten_operators():
-    assert sorted(int(n.split("_")[0][2:]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in queries.queries() if n.startswith("op")) == list(range(1, 11))
 
 
 def test_the_collision_query_finds_pairs(spark, tmp_path):
