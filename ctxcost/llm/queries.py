@@ -119,24 +119,44 @@ SELECT doc_id, item_id, max(shared::DOUBLE / s) AS containment, arg_min(start, (
 FROM n JOIN items USING (item_id) WHERE shared >= ceil(0.7::DOUBLE * s - 1e-9) GROUP BY doc_id, item_id
 """
 
-#: Lines end at newlines, at sentence ends before white space and after twelve words; U+0001 marks the cuts.
+#: Lines end at newlines, at sentence ends before white space and, within a sentence, after the words whose mark is the least of some
+#: twelve consecutive ones; U+0001 marks the first two. ``s`` numbers sentences, ``k`` the words of one, ``line`` the lines of one.
 _OP6 = r"""
-WITH seg AS (
-  SELECT doc_id, u.l, u.i, trim(u.l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM (
-    SELECT doc_id, flatten(list_transform(
-      string_split(replace(regexp_replace(text, '([.!?])([\t\n\v\f\r ])', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1)), chr(1)),
-      lambda s: string_split(regexp_replace(s, '([\t\n\v\f\r ]*[^\t\n\v\f\r ]+(?:[\t\n\v\f\r ]+[^\t\n\v\f\r ]+){11})', '\1' || chr(1), 'g'), chr(1))
-    )) AS a FROM documents WHERE text IS NOT NULL
-  ) d, LATERAL (SELECT unnest(a) AS l, unnest(range(len(a))) AS i) u
+WITH sent AS (
+  SELECT doc_id, u.l, u.s FROM (
+    SELECT doc_id, string_split(replace(regexp_replace(text, '([.!?])([\t\n\v\f\r ])', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1)), chr(1)) AS a FROM documents WHERE text IS NOT NULL
+  ) d, LATERAL (SELECT unnest(a) AS l, unnest(range(len(a))) AS s) u
+), tok AS (
+  SELECT doc_id, s, u.t, u.k, n, tail FROM (
+    SELECT doc_id, s, a, len(a) AS n, regexp_extract(l, '[\t\n\v\f\r ]*$') AS tail FROM (SELECT *, regexp_extract_all(l, '[\t\n\v\f\r ]*[^\t\n\v\f\r ]+') AS a FROM sent)
+  ) d, LATERAL (SELECT unnest(a) AS t, unnest(range(len(a))) AS k) u
+), byte AS (
+  SELECT DISTINCT t, hex(regexp_replace(t, '^[\t\n\v\f\r ]+', '')) AS x FROM tok
+), mark AS (
+  SELECT t, (list_sum(list_transform(range(1, len(x) // 2 + 1), lambda j: j * ((strpos('0123456789ABCDEF', x[2 * j - 1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2 * j]) - 1))) * 40503) % 65536 AS m FROM byte
+), least AS (
+  SELECT doc_id, s, min(m * 1048576 - k) OVER o AS b, count(*) OVER o AS c
+  FROM tok JOIN mark USING (t) WINDOW o AS (PARTITION BY doc_id, s ORDER BY k ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)
+), cut AS (
+  SELECT DISTINCT doc_id, s, CAST((1048576 - b % 1048576) % 1048576 AS BIGINT) AS k, true AS cut FROM least WHERE c = 12
+), part AS (
+  SELECT tok.*, coalesce(sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, s ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM tok LEFT JOIN cut USING (doc_id, s, k)
+), joined AS (
+  SELECT doc_id, s, line, string_agg(t, '' ORDER BY k) || max(CASE WHEN k = n - 1 THEN tail ELSE '' END) AS l FROM part GROUP BY doc_id, s, line
+  UNION ALL SELECT doc_id, s, 0, l FROM sent WHERE NOT regexp_matches(l, '[^\t\n\v\f\r ]')
+), seg AS (
+  SELECT doc_id, l, row_number() OVER (PARTITION BY doc_id ORDER BY s, line) AS i, trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM joined WHERE l <> ''
 ), w AS (
-  SELECT doc_id, i AS a, lead(i, 2) OVER o AS b, t || chr(1) || lead(t, 1) OVER o || chr(1) || lead(t, 2) OVER o AS x,
-    strlen(t) + strlen(lead(t, 1) OVER o) + strlen(lead(t, 2) OVER o) AS size
+  SELECT doc_id, i AS a, lead(i, 2) OVER o AS b, t || chr(1) || lead(t, 1) OVER o || chr(1) || lead(t, 2) OVER o AS x
   FROM seg WHERE t <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY i)
 ), later AS (
-  SELECT doc_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY doc_id, a) AS n FROM w WHERE b IS NOT NULL AND size >= 30) WHERE n > 1
+  SELECT doc_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY doc_id, a) AS n FROM w WHERE b IS NOT NULL) WHERE n > 1
+), gone AS (
+  SELECT doc_id, i, l, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM seg s WHERE EXISTS (SELECT 1 FROM later r WHERE r.doc_id = s.doc_id AND s.i BETWEEN r.a AND r.b)
+), out AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, sum(strlen(l)) OVER (PARTITION BY doc_id, island) AS size FROM gone) WHERE size >= 30
 ), kept AS (
-  SELECT doc_id, string_agg(l, '' ORDER BY i) AS text FROM seg s
-  WHERE NOT EXISTS (SELECT 1 FROM later r WHERE r.doc_id = s.doc_id AND s.i BETWEEN r.a AND r.b) GROUP BY doc_id
+  SELECT doc_id, string_agg(l, '' ORDER BY i) AS text FROM seg ANTI JOIN out USING (doc_id, i) GROUP BY doc_id
 )
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, d.lang, d.source,
   CASE WHEN d.text IS NULL THEN d.n_chars ELSE length(coalesce(k.text, '')) END AS n_chars

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._components import components
-from ._store import without, written
+from ._store import BROADCAST_KEYS, without, written
 
 BITS = 256
 WORDS = BITS // 64
@@ -172,15 +172,35 @@ def links(f: np.ndarray, radius: int, target: float, level: int = 1) -> np.ndarr
     return _stars(np.concatenate(a), np.concatenate(b), n) if a else np.arange(n)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0, f1, …) of the documents that have an id and words."""
+def _prints(texts: DataFrame, keys: str) -> DataFrame:
+    """``keys`` (a schema) and f0, f1, … of the texts that have words."""
+    names = [k.split()[0] for k in keys.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, f = fingerprints_of(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows)), *(pa.array(f[:, w].copy().view(np.int64)) for w in range(WORDS))], ["doc_id", *PRINT])
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in names), *(pa.array(f[:, w].copy().view(np.int64)) for w in range(WORDS))], [*names, *PRINT])
+
+    return texts.select(*names, F.lower("text").alias("text")).mapInArrow(run, f"{keys}, {_PRINT_TYPE}")
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", F.lower("text").alias("text")).mapInArrow(run, f"doc_id long, {_PRINT_TYPE}")
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, f0, f1, …) of the documents that have an id and words."""
+    return _prints(docs.where("doc_id IS NOT NULL"), "doc_id long")
+
+
+def twins(texts: DataFrame, pairs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Those of ``pairs`` (id, key, of_id, of_key) of rows of ``texts`` (id, key, text) that are near-duplicates."""
+    pairs = written(pairs, "pairs")
+    asked = written(pairs.select("id", "key").unionByName(pairs.select(F.col("of_id").alias("id"), F.col("of_key").alias("key"))).distinct(), "asked")
+    # Beyond a few, all texts are fingerprinted where they are and fingerprints are shuffled, not texts.
+    if asked.count() <= BROADCAST_KEYS:
+        texts = texts.join(F.broadcast(asked), ["id", "key"], "left_semi")
+    prints = written(_prints(texts, "id long, key long").distinct(), "asked-fingerprints")
+    of = prints.select(F.col("id").alias("of_id"), F.col("key").alias("of_key"), *(F.col(x).alias(f"of_{x}") for x in PRINT))
+    apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"of_{x}"))) for x in PRINT[1:]), F.bit_count(F.col(PRINT[0]).bitwiseXOR(F.col(f"of_{PRINT[0]}"))))
+    return pairs.join(prints, ["id", "key"]).join(of, ["of_id", "of_key"]).where(apart <= radius).select("id", "key", "of_id", "of_key")
 
 
 def near_edges(distinct: DataFrame, radius: int, target: float) -> DataFrame:

@@ -3,8 +3,8 @@ import re
 
 import pytest
 
-import corpus_pipeline
 from ctxcost.llm import line_windows as lw
+from ctxcost.llm import simhash_forest as sf
 
 from .conftest import prose, words
 
@@ -12,17 +12,25 @@ SPACE = "\t\n\x0b\x0c\r "
 
 
 def cut(text):
-    """Lines of a text by one regular expression each for the ends of sentences and of long lines."""
-    parts = re.sub(rf"([.!?])(?=[{SPACE}])", "\\1\x01", text).replace("\n", "\n\x01").split("\x01")
+    """Lines of a text: sentences by one regular expression, cut after each word whose mark is the least of some twelve."""
     out = []
-    for p in parts:
-        out += re.sub(rf"([{SPACE}]*[^{SPACE}]+(?:[{SPACE}]+[^{SPACE}]+){{{lw.WORDS - 1}}})", "\\1\x01", p).split("\x01")
+    for p in re.sub(rf"([.!?])(?=[{SPACE}])", "\\1\x01", text).replace("\n", "\n\x01").split("\x01"):
+        words_ = re.findall(rf"[{SPACE}]*[^{SPACE}]+", p)
+        mark = [sum((i + 1) * b for i, b in enumerate(w.strip(SPACE).encode())) * 40503 % 65536 for w in words_]
+        ends = {max(range(i, i + lw.WORDS), key=lambda j: (-mark[j], j)) for i in range(len(words_) - lw.WORDS + 1)}
+        line = ""
+        for i, w in enumerate(words_):
+            line += w
+            if i in ends and i < len(words_) - 1:
+                out.append(line)
+                line = ""
+        out.append(line + p[sum(map(len, words_)) :])
     return [x for x in out if x]
 
 
-def brute(docs):
+def brute(docs, twin=lambda a, b: False, min_bytes=lw.MIN_BYTES):
     """{row: text} after removal; rows in the order of (doc_id, nulls last)."""
-    seen, out = set(), {}
+    seen, out = {}, {}
     for row in sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0)):
         text = docs[row][1]
         if text is None:
@@ -34,11 +42,14 @@ def brute(docs):
         for n in range(len(full) - 2):
             at = full[n : n + 3]
             key = tuple(lines[i].strip(SPACE) for i in at)
-            if sum(len(x.encode()) for x in key) < lw.MIN_BYTES:
-                continue
-            if key in seen:
+            if key in seen and not twin(docs[row], docs[seen[key]]):
                 gone |= set(range(at[0], at[2] + 1))
-            seen.add(key)
+            seen.setdefault(key, row)
+        for i in sorted(gone):
+            if i - 1 not in gone:
+                end = next(j for j in range(i, len(lines) + 1) if j not in gone)
+                if sum(len(x.encode()) for x in lines[i:end]) < min_bytes:
+                    gone -= set(range(i, end))
         out[row] = "".join(x for i, x in enumerate(lines) if i not in gone)
     return out
 
@@ -65,16 +76,6 @@ def test_equals_brute_force(make, docs):
     assert sum(want[n] != t for n, (_, t) in enumerate(docs)) > 40
 
 
-def test_a_long_passage_without_sentences_goes(make):
-    """Fifty-one words without a mark: their lines are cut by number."""
-    rng = random.Random(12)
-    passage = " ".join(words(rng, 51))
-    rows = [(i, f"{prose(rng, 3)}\n{passage}\n{prose(rng, 3)}") for i in range(5)]
-    got = {r.doc_id: r.text for r in lw.cleaned(make(rows)).collect()}
-    assert got[0] == rows[0][1]
-    assert all(" ".join(passage.split()[:48]) not in got[i] and rows[i][1].startswith(got[i][:20]) for i in range(1, 5))
-
-
 def test_clean_documents_are_unchanged(make):
     rng = random.Random(13)
     rows = [(i, prose(rng)) for i in range(50)]
@@ -100,60 +101,55 @@ def test_null_ids_come_last(make):
     assert {(r.doc_id, r.text) for r in got} == {(7, text), (None, "")}
 
 
-def brute_passages(docs):
-    """{row: words that stay}, by comparing all runs of words."""
-    seen, out = set(), {}
-    for row in sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0)):
-        w = re.split(f"[{SPACE}]+", (docs[row][1] or "").strip(SPACE))
-        gone = set()
-        for i in range(len(w) - lw.PASSAGE + 1):
-            run = tuple(w[i : i + lw.PASSAGE])
-            if run in seen:
-                gone |= set(range(i, i + lw.PASSAGE))
-            seen.add(run)
-        out[row] = [x for i, x in enumerate(w) if i not in gone and x]
-    return out
-
-
-def kept_words(spark, rows, make):
-    got = corpus_pipeline.dedup_lines(spark, make(rows), "")
-    return {r.doc_id: r.text.split() for r in got.collect()}
-
-
-def test_a_passage_goes_at_each_word_offset(spark, make):
-    """The pipeline's stage removes a passage without a mark, however many words of its sentence come before."""
+def test_a_passage_goes_at_each_word_offset(make):
+    """However many words of its sentence come before a passage without a mark, none of its runs of fifty words is left twice."""
     rng = random.Random(15)
     sizes = (50, 60, 200, 2000)
     passages = [words(rng, n) for n in sizes]
     rows = [(n, " ".join(p)) for n, p in enumerate(passages)]
     rows += [(100 * n + 100 + k, " ".join(words(rng, k) + p + words(rng, 3))) for n, p in enumerate(passages) for k in range(13)]
-    got = kept_words(spark, rows, make)
+    got = {r.doc_id: r.text.split() for r in lw.cleaned(make(rows)).collect()}
     for n, p in enumerate(passages):
         first = {tuple(p[i : i + 50]) for i in range(len(p) - 49)}
         assert got[n] == p
         for k in range(13):
             w = got[100 * n + 100 + k]
-            assert not any(tuple(w[i : i + 50]) in first for i in range(len(w) - 49))
-
-
-def test_passages_equal_brute_force(make, docs):
-    rng = random.Random(16)
-    passage = words(rng, 300)
-    rows = docs + [(300 + i, " ".join(words(rng, i) + passage[i : i + 49 + i % 3] + ["x"] * (i % 70))) for i in range(100)]
-    rows += [(None, " ".join(["é"] + passage[:120])), (None, None), (400, ""), (401, "one"), (402, "  ")]
-    got = {(r.doc_id, tuple((r.text or "").split())) for r in lw.without_passages(make(rows)).collect()}
-    want = brute_passages(rows)
-    assert got == {(rows[n][0], tuple(w)) for n, w in want.items()}
-    assert sum(w != re.split(f"[{SPACE}]+", (rows[n][1] or "").strip(SPACE)) for n, w in want.items()) > 60
-    assert lw.without_passages(make([])).collect() == []
+            assert len(w) <= k + 3 + 24 and not any(tuple(w[i : i + 50]) in first for i in range(len(w) - 49))
 
 
-def test_a_passage_of_short_lines_goes(spark, make):
-    """Lines of one short word make no window of MIN_BYTES bytes, but a long passage of them goes."""
+def test_a_passage_of_short_lines_goes(make):
+    """Lines of one short word make small windows, but merged they are many bytes; a few short lines that repeat stay."""
     rng = random.Random(17)
     passage = [f"{w[:4]}!!" for w in words(rng, 163)]
-    assert max(len("".join(passage[i : i + 3])) for i in range(161)) < lw.MIN_BYTES
-    rows = [(i, "\n".join(words(rng, 4) + passage + words(rng, 4))) for i in range(3)] + [(9, "onti. " * 120)]
-    got = kept_words(spark, rows, make)
+    rows = [(i, "\n".join([*words(rng, 4), "{", "}", "};", *passage, *words(rng, 4), "{", "}", "};"])) for i in range(3)] + [(9, "onti. " * 120)]
+    got = {r.doc_id: r.text.split() for r in lw.cleaned(make(rows)).collect()}
     assert got[0] == rows[0][1].split() and got[9] == ["onti."]
-    assert all(not set(got[i]) & set(passage) and len(got[i]) == 8 for i in (1, 2))
+    assert all(not set(got[i]) & set(passage) and got[i][-3:] == ["{", "}", "};"] for i in (1, 2))
+    more = {r.doc_id: r.text.split() for r in lw.cleaned(make(rows), min_bytes=1).collect()}
+    assert more[1][-1] != "};" and len(more[1]) < len(got[1])
+
+
+def test_many_tasks_rank_as_one(make, docs, monkeypatch):
+    monkeypatch.setattr(lw, "_HELD", 50)
+    got = {r.doc_id: r.text for r in lw.cleaned(make(docs).repartition(7)).collect()}
+    want = brute(docs)
+    assert all(got[i] == want[n] for n, (i, _) in enumerate(docs))
+
+
+def test_near_copies_stay_whole(make):
+    """Edited copies keep their lines, as they are one document's; a passage that unrelated documents share goes from them, too."""
+    rng = random.Random(18)
+    passage = prose(rng, 6)
+    rows = [(0, prose(rng, 10) + "\n" + passage)]
+    for g in range(1, 5):
+        base = prose(rng, 60) + "\n" + passage + "\n" + prose(rng, 20)
+        rows += [(10 * g + i, " ".join(w if rng.random() > 0.01 * (i > 0) else "edited" for w in base.split(" "))) for i in range(6)]
+    got = {r.doc_id: r.text for r in lw.cleaned(make(rows).coalesce(1), twins=sf.twins).collect()}
+    plain = brute(rows)
+    own = {i: t.replace(passage, "") for i, t in rows}
+    for n, (i, t) in enumerate(rows[1:], 1):
+        assert len(got[i]) > 0.8 * len(own[i])
+        assert i % 10 == 0 or len(plain[n]) < 0.8 * len(own[i])
+    assert all(passage not in got[10 * g] for g in range(1, 5)) and got[0] == rows[0][1]
+    alone = {r.doc_id: r.text for r in sf.deduplicated(lw.cleaned(make(rows), twins=sf.twins)).collect()}
+    assert sorted(alone) == [0, 10, 20, 30, 40]
