@@ -24,9 +24,10 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the three-line windows and the passages that occurred before; those left with no text go."""
+    """Documents without the three-line windows that occurred before; those left with no text go. Near copies keep the lines of
+    their originals, so that the next stage sees what they are."""
     ship(spark)
-    return line_windows.without_passages(written(line_windows.cleaned(docs, drop_empty=True), "lines"), drop_empty=True)
+    return line_windows.cleaned(docs, drop_empty=True, twins=simhash_forest.twins)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
