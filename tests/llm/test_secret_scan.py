@@ -84,20 +84,76 @@ def test_planted_secrets_are_found(make, docs):
 
 
 def test_false_discovery_control_equals_brute_force(make, docs):
+    """Empirical p-values among the decoys of a stratum, then Benjamini and Hochberg's procedure with Storey's estimate on the sorted list of them."""
     rows, _ = docs
     every = ss.candidates(make(rows)).collect()
-    group = lambda r: (r.encoding, sum(r.length >= e for e in ss._LENGTHS.tolist()))
-    bins = lambda p: math.floor(p * (ss.BINS - 1))
-    want = set()
-    for r in every:
-        own = [x for x in every if group(x) == group(r)]
-        rates = []
-        for t in range(bins(r.p_random) + 1):
-            accepted = sum(bins(x.p_random) >= t for x in own)
-            rates.append(sum(x.p_decoy is not None and bins(x.p_decoy) >= t for x in own) / max(1, accepted))
-        if min(1, *rates, 1) <= 0.05 and r.p_random >= ss.FLOOR:
-            want.add((r.doc_id, r.start))
-    assert {(r.doc_id, r.start) for r in ss.secrets(make(rows)).collect()} == want
+    edges = [ss.MIN_LENGTH, *ss._LENGTHS.tolist()]
+    group = lambda r: (r.encoding, max(e for e in edges if e <= r.length))
+    score = lambda p: int(p * (ss.BINS - 1))
+    reference = ss.reference_decoys(ss.MIN_LENGTH)
+
+    def decoys(encoding, edge):
+        own = [score(p) for x in every if group(x) == (encoding, edge) for p in x.p_decoys]
+        return own + [score(p) for p in reference[ss.NAMES.index(encoding), edges.index(edge)]]
+
+    want = {}
+    for g in set(map(group, every)):
+        pool = decoys(*g)
+        if len(pool) < ss.THIN:
+            pool = [p for e in edges if e <= g[1] for p in decoys(g[0], e)]
+        own = [x for x in every if group(x) == g]
+        ranked = sorted(((1 + sum(d >= score(x.p_random) for d in pool)) / (1 + len(pool)), i) for i, x in enumerate(own))
+        q, ordinary = 1.0, min(len(own), (1 + sum(p > 0.5 for p, _ in ranked)) / 0.5)
+        for k in range(len(ranked), 0, -1):
+            p, i = ranked[k - 1]
+            q = min(q, p * ordinary / sum(y <= p for y, _ in ranked))
+            if q <= 0.05 and own[i].p_random >= ss.FLOOR:
+                want[own[i].doc_id, own[i].start] = q
+    got = {(r.doc_id, r.start): r.q_value for r in ss.secrets(make(rows)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(q) for k, q in want.items())
+
+
+ORDINARY = ("report2024quarterlyrevenue", "/usr/local/share/documentation", "getUserProfileByAccountName", "annual_report_for_the_year_2023", "20240101000000000001")
+
+
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_a_few_ordinary_candidates_are_no_findings(make, n):
+    """Alone in their documents, without decoys there, and with text around them."""
+    rng = random.Random(45)
+    assert ss.secrets(make([(i, x) for i, x in enumerate(ORDINARY[:n])])).collect() == []
+    assert ss.secrets(make([(i, f"{prose(rng, 9)} {x} {prose(rng, 9)}") for i, x in enumerate(ORDINARY[:n])])).collect() == []
+
+
+def test_numbers_of_few_bits_are_no_candidates(make):
+    rows = [(i, f"pay 47{i:014d} to 4111 by key {i:064x}") for i in range(3)]
+    assert {r.length for r in ss.candidates(make(rows)).collect()} == {64}
+    assert {r.length for r in ss.candidates(make(rows), min_bits=1).collect()} == {16, 64}
+
+
+def test_one_secret_alone_is_found(make):
+    rng = random.Random(46)
+    for alphabet in KEY.values():
+        key = "".join(rng.choices(alphabet, k=64))
+        assert [r.length for r in ss.secrets(make([(1, f"{prose(rng, 20)}\nkey={key}")])).collect()] == [64]
+
+
+def test_recall_by_length(make):
+    """From what length on keys are found among a thousand ordinary documents."""
+    rng = random.Random(47)
+    shares = {}
+    for n in (16, 20, 24, 32, 40, 64):
+        rows, planted = [], set()
+        for i in range(300):
+            text = prose(rng, 12)
+            if i % 3 == 0:
+                key = "".join(rng.choices(KEY["base62"], k=n))
+                planted.add((i, len(text) + 5))
+                text += f"\nkey={key}"
+            rows.append((i, text))
+        got = {(r.doc_id, r.start) for r in ss.secrets(make(rows)).collect()}
+        assert len(got - planted) <= 0.06 * max(1, len(got))
+        shares[n] = len(got & planted) / len(planted)
+    assert min(shares[n] for n in (32, 40, 64)) >= 0.9 and min(shares[n] for n in (20, 24)) >= 0.8 and shares[16] >= 0.7, shares
 
 
 def test_odd_rows_and_empty(make, odd_rows):
