@@ -31,13 +31,21 @@ def is_exact(path: Column, size: Column, tier: Column, kind: Column) -> Column:
     return (kind != "binary") & ~kinds.is_minified(path) & ((tier == 0) | (size <= 2 * SAMPLE_BYTES))
 
 
-def measure(path: Column, content: Column, size: Column, tier: Column, kind: Column, tokenizer: Tokenizer = count) -> Column:
-    """struct(tokens, estimated, head) of a file's BINARY content; null content is an unreadable file."""
+def middle_at(size: Column) -> Column:
+    """Where the second sample of a file begins."""
+    return F.greatest(F.lit(SAMPLE_BYTES), F.floor(size / 2) - SAMPLE_BYTES // 2)
+
+
+def measure(path: Column, content: Column, size: Column, tier: Column, kind: Column, tokenizer: Tokenizer = count, second: Column | None = None) -> Column:
+    """struct(tokens, estimated, head) of a file's BINARY content; null content is an unreadable file.
+
+    For a file that is sampled, ``content`` may be its first sample only if ``second`` is the other.
+    """
     skipped = (kind == "binary") | kinds.is_minified(path) | content.isNull()
     whole = is_exact(path, size, tier, kind)
-    middle = F.greatest(F.lit(SAMPLE_BYTES), F.floor(size / 2) - SAMPLE_BYTES // 2).cast("int")
+    other = F.substring(content, middle_at(size).cast("int") + 1, F.lit(SAMPLE_BYTES)) if second is None else F.coalesce(second, F.lit(b""))
     head = _text(F.substring(content, 1, SAMPLE_BYTES))
-    sample = F.concat(head, _text(F.substring(content, middle + 1, F.lit(SAMPLE_BYTES))))
+    sample = F.concat(head, _text(other))
     n = tokenizer(sample)
     rate = F.octet_length(sample) / n
     guess = F.when((n == 0) | (F.octet_length(sample) == 0), F.lit(0)).otherwise(F.floor(size / rate + 0.5)).cast("long")

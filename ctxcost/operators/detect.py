@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from ..functions import kinds
 from ..functions.docs import hamming
 from ..schema import DAY, DEFAULT_BUDGET, Context
+from ..store import written
 
 RESIDENT_SHARE = 0.3
 OUTLIER_LEAST, OUTLIER_RANK = 20, 0.99
 NEAR_BITS = 10
+BLOCK_PRINTS = 2048
 COLD_TOKENS, COLD_DAYS = 1000, 180
 
 Detector = Callable[[DataFrame, Context], DataFrame]
@@ -94,17 +96,20 @@ def near_docs(files: DataFrame, bits: int = NEAR_BITS) -> DataFrame:
     """(seq, path, other_seq, other, d): each document and every earlier one within ``bits`` bits.
 
     Ten of 32 bits let in one pair of random documents in forty, so the result grows with the square of the documents
-    and no index prunes it. Fingerprints are compared as groups of equal ones, in blocks that spread over all tasks.
+    and no index prunes it. Fingerprints are compared as groups of equal ones, each two once, in the blocks of a grid that grows with their number.
     """
-    docs = files.where("kind = 'doc' AND content_simhash IS NOT NULL").select("seq", "path", F.col("content_simhash").alias("fp"))
-    grid = 16
-    prints = docs.select("fp").distinct().withColumn("block", F.pmod(F.xxhash64("fp"), F.lit(grid)))
-    # A grid of blocks: each print goes to the row and the column of its block, and each cell is an equi-join.
-    row = prints.select(F.col("fp").alias("a"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda j: F.col("block") * grid + j)).alias("cell"))
-    col = prints.select(F.col("fp").alias("b"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda i: i * grid + F.col("block"))).alias("cell"))
-    near = row.join(col, "cell").where(hamming(F.col("a"), F.col("b")) <= bits).select("a", "b", hamming(F.col("a"), F.col("b")).alias("d"))
-    later, earlier = docs.select("seq", "path", F.col("fp").alias("a")), docs.select(F.col("seq").alias("other_seq"), F.col("path").alias("other"), F.col("fp").alias("b"))
-    return near.join(later, "a").join(earlier, "b").where("other_seq < seq").select("seq", "path", "other_seq", "other", "d")
+    docs = written(files.where("kind = 'doc'").select("seq", "path", F.col("content_simhash").alias("fp")), "fingerprints").where("fp IS NOT NULL")
+    prints = docs.select("fp").distinct()
+    grid = max(2, -(-prints.count() // BLOCK_PRINTS))
+    prints = prints.withColumn("block", F.pmod(F.xxhash64("fp"), F.lit(grid)).cast("long"))
+    # Each cell of the grid's upper half is an equi-join of the blocks of its row and its column.
+    row = prints.select(F.col("fp").alias("a"), F.explode(F.transform(F.sequence("block", F.lit(grid - 1).cast("long")), lambda j: F.col("block") * grid + j)).alias("cell"))
+    col = prints.select(F.col("fp").alias("b"), "block", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), "block"), lambda i: i * grid + F.col("block"))).alias("cell"))
+    d = hamming(F.col("a"), F.col("b"))
+    near = row.join(col, "cell").where((d <= bits) & ((F.col("a") <= F.col("b")) | (F.col("cell") != F.col("block") * grid + F.col("block")))).select("a", "b", d.alias("d"))
+    one, two = docs.select(F.struct("seq", "path").alias("x"), F.col("fp").alias("a")), docs.select(F.struct("seq", "path").alias("y"), F.col("fp").alias("b"))
+    pairs = near.join(one, "a").join(two, "b").where("a <> b OR x.seq > y.seq").select(F.greatest("x", "y").alias("late"), F.least("x", "y").alias("early"), "d")
+    return pairs.where("late.seq > early.seq").select("late.seq", "late.path", F.col("early.seq").alias("other_seq"), F.col("early.path").alias("other"), "d")
 
 
 def dup_doc(files: DataFrame, ctx: Context) -> DataFrame:

@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import docs, kinds, paths, tokens
 from ..operators import detect, history, ignore_rules, modules, reach, score, snapshot, tiers
-from ..runtime import ship
 from ..schema import Context
 from ..store import written
 from . import corpus
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+from .registry import QUERIES, SQL, Query, query
 
 CTX = Context(now=corpus.COLD_NOW)
 
@@ -128,23 +122,15 @@ dead AS (
 )"""
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name, with its SQL if there is one."""
-
-    def add(f: Query) -> Query:
-        name = f.__name__.strip("_")
-
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
-            return f(spark, sf_dir)
-
-        run.__name__, run.__doc__ = name, f.__doc__
-        _QUERIES[name] = run
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return add
+# Every signal at once: banners, links, fingerprints of the prose, and what the graph says of modules.
+_BANNER = _found(0, "generated", "CASE WHEN seq % 24 = 2 THEN 0.97::DOUBLE ELSE 0.75::DOUBLE END", "ignore", "'generated file — ' || CASE WHEN seq % 24 = 2 THEN 'path pattern and a generated-file header banner' ELSE 'matches a known lockfile/build-output path pattern' END", "rec WHERE kind = 'generated'")
+_NINE = f"""WITH {_RECORDS}, {_SIZED}, {_PRINTS.replace("doc AS (SELECT seq, 'docs/d' || seq || '.md' AS path, fp FROM fp)", "doc AS (SELECT seq, path, fp FROM fp JOIN rec USING (seq) WHERE kind = 'doc')")},
+pair AS (SELECT b.seq, b.path, a.seq AS other_seq, a.path AS other, CAST(bit_count(xor(a.fp, b.fp)) AS BIGINT) AS d FROM doc a JOIN doc b ON a.seq < b.seq AND bit_count(xor(a.fp, b.fp)) <= 10),
+refs AS (SELECT seq, path, unnest(['docs/d' || (seq + 1) || '.md', 'gone/g' || seq || '.md', 'docs/d' || (seq + 12) || '.md']) AS ref FROM rec WHERE kind = 'doc'),
+miss AS (SELECT seq, path, count(*) AS n, count(*) FILTER (ref NOT IN (SELECT path FROM rec)) AS gone FROM refs GROUP BY seq, path),
+lone AS (SELECT seq, path FROM rec WHERE kind = 'source' AND seq % 5 = 0), dead AS (SELECT seq, path, seq % 7 AS n FROM rec WHERE kind = 'source' AND seq % 7 > 0)
+{" UNION ALL ".join((_BANNER, _VENDORED, _OVERWEIGHT, _OUTLIER, _STALE, _DUP, _COLD + f" AND path NOT IN {corpus.ENTRYPOINTS}", _found(7, "orphan-module", "0.55::DOUBLE", "review", "'unreachable from any inferred entrypoint via module-graph edges'", "lone"),
+_found(8, "dead-export", "least(0.8::DOUBLE, 0.5::DOUBLE + 0.08::DOUBLE * n)", "review", "n || ' exported symbol(s) have zero inbound module-graph references anywhere in this repo (v1)'", "dead")))}"""
 
 
 # Projections and predicates --------------------------------------------------
@@ -161,9 +147,28 @@ def token_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.documents(spark, sf_dir).select("seq", tokens.count(F.col("text")).alias("tokens"))
 
 
-@query()
+def _sampled(h: str) -> str:
+    """SQL of (tokens, bytes) of a sample given in hexadecimal: each byte of a character that the sample's ends cut is one replacement mark, a cut end is one."""
+    head, tail = f"regexp_extract({h}, '^((?:[89AB].)*)', 1)", "regexp_extract({0}, '^(?:..)*?((?:[CD].|E.(?:[89AB].)?|F.(?:[89AB].)?(?:[89AB].)?))$', 1)"
+    rest = f"substr({h}, len({head}) + 1)"
+    marks = f"(len({head}) // 2 + CASE WHEN {tail.format(rest)} <> '' THEN 1 ELSE 0 END)"
+    text = f"decode(unhex(left({rest}, len({rest}) - len({tail.format(rest)}))))"
+    return f"{{{{'n': {_COUNT.format(t=text)} + {marks}, 'b': strlen({text}) + 3 * {marks}}}}}"
+
+
+_SAMPLED = f"""{_FILES}, cut AS (
+  SELECT seq, bytes, kind, tier, tokens, hex(encode(text)) AS h, greatest(8192, bytes // 2 - 4096) AS mid FROM files JOIN documents ON seq = doc_id
+), two AS (
+  SELECT *, substr(h, 1, 16384) AS one, substr(h, 2 * mid + 1, 16384) AS other FROM cut WHERE bytes > 16384 AND tier <> 0 AND kind <> 'binary' AND seq % 12 <> 3
+), n AS (
+  SELECT seq, bytes, {_sampled("one").replace("{{", "{").replace("}}", "}")} AS x, {_sampled("other").replace("{{", "{").replace("}}", "}")} AS y FROM two
+)"""
+
+
+@query(f"""WITH {_SAMPLED} SELECT seq, bytes, CAST(floor(bytes / ((x.b + y.b) / (x.n + y.n)::DOUBLE) + 0.5) AS BIGINT) AS tokens, true AS estimated FROM n
+UNION ALL SELECT seq, bytes, tokens, kind = 'binary' OR seq % 12 = 3 FROM cut WHERE seq NOT IN (SELECT seq FROM two)""")
 def token_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files above sixteen kilobytes from two samples of their bytes; tests compare it with plain Python."""
+    """Files above sixteen kilobytes from two samples of their bytes."""
     rows = corpus.files(spark, sf_dir).drop("tokens", "estimated").join(corpus.documents(spark, sf_dir).select("seq", "text"), "seq")
     m = tokens.measure(F.col("path"), F.col("text").cast("binary"), F.col("bytes"), F.col("tier"), F.col("kind"))
     return rows.select("seq", "bytes", m.alias("m")).select("seq", "bytes", "m.tokens", "m.estimated")
@@ -261,6 +266,12 @@ def findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found_in(spark, sf_dir)[1]
 
 
+@query(_NINE)
+def findings_nine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nine detectors on records with every signal; three files are entrypoints of a package."""
+    return detect.run_all(written(corpus.signalled(spark, sf_dir), "records"), Context(now=corpus.COLD_NOW, package_entrypoints=corpus.ENTRYPOINTS))
+
+
 @query(f"WITH {_FINDINGS} SELECT path, max(confidence) AS confidence FROM found GROUP BY path")
 def max_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.max_confidence(_found_in(spark, sf_dir)[1])
@@ -302,10 +313,11 @@ def report_json_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_WASTED}, worst AS (SELECT path, waste, seq FROM wasted WHERE waste > 0 ORDER BY waste DESC, seq LIMIT 20),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY confidence DESC, det_ord, emit_ord, seq) AS k FROM found) WHERE k = 1)
-SELECT w.path, round(waste, 6) AS waste, detector, confidence, reason, suggest, w.seq FROM worst w JOIN best USING (path)""")
+SELECT w.path, round(waste, 6) AS waste, detector, confidence, reason, suggest, w.seq, row_number() OVER (ORDER BY w.waste DESC, w.seq) AS place FROM worst w JOIN best USING (path)""")
 def top20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report of the twenty files that waste most."""
-    return score.top(*_found_in(spark, sf_dir)).withColumn("waste", F.round("waste", 6))
+    """A report of the twenty files that waste most, in order."""
+    top = score.top(*_found_in(spark, sf_dir))
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("waste"), "seq")).cast("long")).withColumn("waste", F.round("waste", 6))
 
 
 @query(f"WITH {_FINDINGS} SELECT suggest, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT path) AS BIGINT) AS files, CASE suggest WHEN 'ignore' THEN 0 WHEN 'split' THEN 1 WHEN 'delete' THEN 2 ELSE 3 END AS place FROM found GROUP BY suggest")
@@ -320,10 +332,10 @@ def ignore_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.ignore_additions(_found_in(spark, sf_dir)[1], known)
 
 
-@query(f"WITH {_FILES} SELECT path, tokens, estimated, seq FROM files WHERE tier = 0 ORDER BY tokens DESC, seq LIMIT 20")
+@query(f"WITH {_FILES} SELECT path, tokens, estimated, seq, row_number() OVER (ORDER BY tokens DESC, seq) AS place FROM files WHERE tier = 0 ORDER BY tokens DESC, seq LIMIT 20")
 def resident_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report of the twenty largest resident files."""
-    return score.resident_top(corpus.files(spark, sf_dir))
+    return score.resident_top(corpus.files(spark, sf_dir)).withColumn("place", F.row_number().over(Window.orderBy(F.desc("tokens"), "seq")).cast("long"))
 
 
 @query(f"WITH {_FILES} SELECT seq, path, kind, seq % 5 NOT IN (0, 1) AND seq % 7 <> 0 AS hit FROM files")
@@ -388,9 +400,12 @@ def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.documents(spark, sf_dir).select("seq", paths.basename(p).alias("base"), paths.dirname(p).alias("dir"), paths.extension(p).alias("ext"), paths.resolve(F.concat(F.lit("../../x/.././../"), paths.basename(p)), p).alias("up"))
 
 
+from . import drills  # noqa: E402, F401  (registers its queries)
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v if v.lstrip().upper().startswith(("WITH", "SELECT")) else f"WITH {v}" for k, v in _SQL.items()}
+    return dict(SQL)

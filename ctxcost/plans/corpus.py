@@ -64,9 +64,32 @@ def records(spark: SparkSession, sf_dir: str, now: int = COLD_NOW) -> DataFrame:
     )
 
 
+#: Files that a package declares, for the detector that spares them.
+ENTRYPOINTS = ("src/s9.ts", "src/s21.ts", "src/s33.ts", "src/s45.ts")
+
+
+def signalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with every signal: banners, three links a document, fingerprints of prose, orphans and dead exports by arithmetic."""
+    seq, kind = F.col("seq"), F.col("kind")
+    prints = documents(spark, sf_dir).select("seq", docs.simhash(F.col("text")).alias("__fp"))
+    link = lambda head, n: F.concat(F.lit(head), n.cast("string"), F.lit(".md"))
+    names = F.transform(F.sequence(F.lit(1).cast("long"), seq % 7), lambda i: F.concat(F.lit("f"), i.cast("string")))
+    return records(spark, sf_dir).join(prints, "seq").withColumns({
+        "generated_header": F.when(kind == "generated", seq % 24 == 2), "referenced_paths": F.when(kind == "doc", F.array(link("docs/d", seq + 1), link("gone/g", seq), link("docs/d", seq + 12))),
+        "content_simhash": F.when(kind == "doc", F.col("__fp")), "orphan_module": F.when(kind == "source", seq % 5 == 0), "dead_export_symbols": F.when((kind == "source") & (seq % 7 > 0), names),
+    }).drop("__fp")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A table that fewer tasks would read than can run, spread over these; larger ones stay where they are read."""
+    spark = rows.sparkSession
+    few = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < (16 << 20) * spark.sparkContext.defaultParallelism
+    return rows.repartition(spark.sparkContext.defaultParallelism) if few else rows
+
+
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, path, kind, content_simhash): every document as prose."""
-    rows = documents(spark, sf_dir)
+    rows = spread(documents(spark, sf_dir))
     return rows.select("seq", F.concat(F.lit("docs/d"), F.col("seq").cast("string"), F.lit(".md")).alias("path"), F.lit("doc").alias("kind"), docs.simhash(F.col("text")).alias("content_simhash"))
 
 

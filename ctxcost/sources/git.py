@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import subprocess
+import warnings
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.history import MARK
 
-_TIMEOUT = 120
-
 
 def _git(root: str, *args: str) -> str | None:
     try:
-        done = subprocess.run(["git", "-C", root, *args], capture_output=True, timeout=_TIMEOUT, check=True)
+        done = subprocess.run(["git", "-C", root, *args], capture_output=True, check=True)
     except (OSError, subprocess.SubprocessError):
         return None
     return done.stdout.decode("utf-8", "replace")
@@ -35,6 +35,12 @@ def parse_name_only(text: str) -> list[tuple[str, int]]:
 
 
 def commits(spark: SparkSession, root: str) -> DataFrame:
-    """(path, ts) of every change but deletions, relative to ``root``; empty without git. ``-z`` keeps paths as they are."""
-    log = _git(root, "log", "-z", "--relative", "--name-only", "--diff-filter=d", f"--format={MARK}%ct") if is_repository(root) else None
-    return spark.createDataFrame(parse_name_only(log or ""), "path string, ts long")
+    """(path, ts) of every change but deletions, relative to ``root``; empty without git or commits. ``-z`` keeps paths as they are."""
+    log = None
+    if is_repository(root) and _git(root, "rev-parse", "--verify", "HEAD") is not None:
+        log = _git(root, "log", "-z", "--relative", "--name-only", "--diff-filter=d", f"--format={MARK}%ct")
+        if log is None:
+            warnings.warn(f"git log failed in {root}; files count as untracked", stacklevel=2)
+    rows = parse_name_only(log or "")
+    table = pa.table([pa.array([p for p, _ in rows], pa.string()), pa.array([t for _, t in rows], pa.int64())], names=["path", "ts"])
+    return spark.createDataFrame(table, "path string, ts long")

@@ -108,37 +108,56 @@ def walk(root: str, limits: Limits = Limits()) -> Iterator[Found]:
         level = after
 
 
-def files(spark: SparkSession, root: str, limits: Limits = Limits()) -> DataFrame:
-    """``FILES`` rows."""
-    rows = [(i, f.path, f.abs_path, f.bytes, f.mtime_ms) for i, f in enumerate(walk(root, limits))]
-    names = FILES.fieldNames()
-    table = pa.table({n: [r[i] for r in rows] for i, n in enumerate(names)}, schema=pa.schema([("seq", pa.int64()), ("path", pa.string()), ("abs_path", pa.string()), ("bytes", pa.int64()), ("mtime_ms", pa.float64())]))
-    df = spark.createDataFrame(table, FILES)
-    return df.repartition(max(1, min(len(rows) // 500 + 1, 10_000)), "path")
+def listing(root: str, limits: Limits = Limits()) -> pa.Table:
+    """``FILES`` rows; at most ``limits.files``."""
+    rows = list(walk(root, limits))
+    columns = [list(range(len(rows))), [f.path for f in rows], [f.abs_path for f in rows], [f.bytes for f in rows], [f.mtime_ms for f in rows]]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64()))], names=FILES.fieldNames())
 
 
-def with_content(listed: DataFrame, wanted: Column, most: Column | None = None) -> DataFrame:
-    """``listed`` with the bytes (content) of the files that ``wanted`` picks, their first ``most`` where that is not null; null for others and unreadable ones."""
+def files(spark: SparkSession, listed: pa.Table) -> DataFrame:
+    """A listing as a DataFrame, spread by path."""
+    return spark.createDataFrame(listed, FILES).repartition(max(1, min(listed.num_rows // 500 + 1, 10_000)), "path")
+
+
+_HELD = 16 << 20
+
+
+def _bytes(path: str, most: int | None, second: int | None) -> tuple[bytes | None, bytes | None]:
+    """A file whole, or its first ``most`` bytes and as many from ``second`` on; None for an unreadable one."""
+    try:
+        with open(path, "rb") as f:
+            if most is None:
+                return f.read(), None
+            head = f.read(most)
+            if second is None:
+                return head, None
+            f.seek(second)
+            return head, f.read(most)
+    except OSError:
+        return None, None
+
+
+def with_content(listed: DataFrame, wanted: Column, most: Column | None = None, second: Column | None = None) -> DataFrame:
+    """``listed`` with bytes of the files that ``wanted`` picks: all (content) or, where ``most`` is not null, their first ``most``
+    and as many from ``second`` on (content, middle). Null for others and unreadable ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            want, most_, where = (b.column(c).to_pylist() for c in ("__want", "__most", "abs_path"))
-            rest = b.drop_columns(["__want", "__most"])
-            step = 256  # rows whose bytes are held at a time
-            for i in range(0, b.num_rows, step):
-                content = []
-                for w, m, p in zip(want[i : i + step], most_[i : i + step], where[i : i + step]):
-                    data = None
-                    if w:
-                        try:
-                            with open(p, "rb") as f:
-                                data = f.read() if m is None else f.read(m)
-                        except OSError:
-                            pass
-                    content.append(data)
-                part = rest.slice(i, step)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(content, pa.binary())], [*part.schema.names, "content"])
-
-    named = listed.withColumn("__want", wanted).withColumn("__most", (F.lit(None) if most is None else most).cast("long"))
+            want, most_, second_, where = (b.column(c).to_pylist() for c in ("__want", "__most", "__second", "abs_path"))
+            rest = b.drop_columns(["__want", "__most", "__second"])
+            content: list[tuple[bytes | None, bytes | None]] = []
+            begin = held = 0
+            for i in range(b.num_rows + 1):
+                if i and (i == b.num_rows or held > _HELD):
+                    part = rest.slice(begin, i - begin)
+                    yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([x[k] for x in content], pa.binary()) for k in (0, 1))], [*part.schema.names, "content", "middle"])
+                    begin, held, content = i, 0, []
+                if i < b.num_rows:
+                    content.append(_bytes(where[i], most_[i], second_[i]) if want[i] else (None, None))
+                    held += sum(len(x) for x in content[-1] if x)
+
+    none = F.lit(None)
+    named = listed.withColumns({"__want": wanted, "__most": (none if most is None else most).cast("int"), "__second": (none if second is None else second).cast("long")})
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listed.schema)
-    return named.mapInArrow(run, f"{columns}, content binary")
+    return named.mapInArrow(run, f"{columns}, content binary, middle binary")

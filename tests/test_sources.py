@@ -70,10 +70,10 @@ def test_ignore_order_and_columns(spark):
 
 def test_contents(spark, tmp_path):
     write(tmp_path, {"a.txt": "hello", "b.bin": b"\x00\xff", "c.txt": "unread"})
-    listed = walk.files(spark, str(tmp_path))
+    listed = walk.files(spark, walk.listing(str(tmp_path)))
     got = {r.path: r.content for r in walk.with_content(listed, F.col("path") != "c.txt", F.when(F.col("path") == "a.txt", 2)).collect()}
     assert got == {"a.txt": b"he", "b.bin": b"\x00\xff", "c.txt": None}
-    assert [r.seq for r in listed.orderBy("path").collect()] == [0, 1, 2] and walk.files(spark, str(tmp_path / "none")).count() == 0
+    assert [r.seq for r in listed.orderBy("path").collect()] == [0, 1, 2] and walk.files(spark, walk.listing(str(tmp_path / "none"))).count() == 0
 
 
 def test_git(spark, tmp_path):
