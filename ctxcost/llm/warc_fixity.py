@@ -24,6 +24,7 @@ from ._store import written
 RECORDS_PER_FILE = 1024
 RANGE_BYTES = 1 << 18
 FANOUT_BITS = 4
+LISTED = 256
 
 
 def record(html: Column | str = "html") -> Column:
@@ -70,19 +71,17 @@ def _joined(parts: Column) -> Column:
     return F.sha2(F.array_join(F.transform(F.array_sort(parts), lambda x: F.concat_ws(":", *(x[f].cast("string") for f in ("i", "j", "k", "h")))), "|"), 256)
 
 
-def tree(records: DataFrame, bits: int, levels: int) -> DataFrame:
-    """(level, node, hash) from the leaves, level 0, to the root."""
+def tree(records: DataFrame, bits: int, levels: int) -> list[DataFrame]:
+    """Tables of (node, hash) from the leaves, level 0, to the root; each is made from the one below, and leaves are kept in order."""
     def part(i: Column, j: Column, k: Column, h: str) -> Column:
         return F.collect_list(F.struct(i.alias("i"), j.alias("j"), k.alias("k"), F.col(h).alias("h")))
 
     no = F.lit(0).cast("long")
-    below = records.groupBy(_leaf(bits).alias("node")).agg(_joined(part(F.col("offset"), F.coalesce("page_id", F.lit(-1)), F.col("n"), "digest")).alias("hash"))
-    below = written(below, "merkle-leaves")
-    out = below.select(F.lit(0).alias("level"), "node", "hash")
+    leaves = records.groupBy(_leaf(bits).alias("node")).agg(_joined(part(F.col("offset"), F.coalesce("page_id", F.lit(-1)), F.col("n"), "digest")).alias("hash"))
+    out = [written(leaves.repartitionByRange("node").sortWithinPartitions("node"), "merkle-0")]
     for level in range(1, levels + 1):
-        below = below.groupBy(F.shiftright("node", FANOUT_BITS).alias("node")).agg(_joined(part(F.col("node"), no, no, "hash")).alias("hash"))
-        out = out.unionByName(below.select(F.lit(level).alias("level"), "node", "hash"))
-    return written(out, "merkle-tree")
+        out.append(written(out[-1].groupBy(F.shiftright("node", FANOUT_BITS).alias("node")).agg(_joined(part(F.col("node"), no, no, "hash")).alias("hash")), f"merkle-{level}"))
+    return out
 
 
 def shape(*replicas: DataFrame) -> tuple[int, int]:
@@ -94,15 +93,26 @@ def shape(*replicas: DataFrame) -> tuple[int, int]:
     return bits, -(-last.bit_length() // FANOUT_BITS)
 
 
-def differing(a: DataFrame, b: DataFrame, levels: int) -> DataFrame:
-    """(node) of the leaves that differ, found from the root down through differing nodes only."""
-    parents = None
-    for level in range(levels, -1, -1):
-        x, y = (t.where(F.col("level") == level).select("node", F.col("hash").alias(h)) for t, h in ((a, "x"), (b, "y")))
-        if parents is not None:
-            x, y = (t.join(parents, F.shiftright("node", FANOUT_BITS) == parents["parent"], "left_semi") for t in (x, y))
-        bad = x.join(y, "node", "full").where(~F.col("x").eqNullSafe(F.col("y"))).select("node")
-        parents = bad.select(F.col("node").alias("parent"))
+def differing(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
+    """(node) of the leaves that differ, found from the root down through differing nodes only.
+
+    Up to ``LISTED`` nodes are a filter of the scan below, which skips what lies outside of their range; more are joined.
+    """
+    none = F.lit(None).cast("string")
+    few: list[int] | None = None
+    bad = a[0].select("node").limit(0)
+    for level in range(len(a) - 1, -1, -1):
+        x, y = a[level].select("node", F.col("hash").alias("x"), none.alias("y")), b[level].select("node", none.alias("x"), F.col("hash").alias("y"))
+        both = x.unionByName(y)
+        if few is not None:
+            both = both.where(F.col("node").isin([n << FANOUT_BITS | i for n in few for i in range(1 << FANOUT_BITS)]))
+        elif level < len(a) - 1:
+            both = both.join(bad.select(F.col("node").alias("parent")), F.shiftright("node", FANOUT_BITS) == F.col("parent"), "left_semi")
+        bad = written(both.groupBy("node").agg(F.max("x").alias("x"), F.max("y").alias("y")).where(~F.col("x").eqNullSafe(F.col("y"))).select("node"), "differing")
+        found = [r.node for r in bad.limit(LISTED + 1).collect()]
+        few = found if len(found) <= LISTED else None
+        if not found:
+            break
     return bad
 
 
@@ -115,7 +125,7 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     a = written(manifest(first), "replica-a")
     b = written(placed(second, a), "replica-b")
     bits, levels = shape(a, b)
-    bad = written(differing(tree(a, bits, levels), tree(b, bits, levels), levels), "differing")
+    bad = differing(tree(a, bits, levels), tree(b, bits, levels))
     x, y = (r.withColumn("node", _leaf(bits)).join(bad, "node", "left_semi") for r in (a, b))
     same = (F.col("x.file") == F.col("y.file")) & F.col("x.page_id").eqNullSafe(F.col("y.page_id")) & (F.col("x.n") == F.col("y.n"))
     status = F.when(F.col("y.digest").isNull(), "missing").when(F.col("x.digest").isNull(), "extra").when(F.col("x.length") != F.col("y.length"), "resized").otherwise("corrupt")

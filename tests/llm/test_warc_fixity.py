@@ -69,11 +69,27 @@ def test_only_differing_branches_are_descended(spark, rows):
     b = a.withColumn("digest", F.when(F.col("page_id") == 77, F.lit("other")).otherwise(F.col("digest")))
     bits, levels = wf.shape(a, b)
     x, y = wf.tree(a, bits, levels), wf.tree(b, bits, levels)
-    bad = [r.node for r in wf.differing(x, y, levels).collect()]
-    assert len(bad) == 1
-    unequal = x.alias("x").join(y.alias("y"), ["level", "node"]).where("x.hash <> y.hash").groupBy("level").count().collect()
-    assert len(unequal) == levels + 1 and all(r["count"] == 1 for r in unequal)
-    assert x.where(f"level = {levels}").count() == 1 and x.where("level = 0").count() > 10
+    assert len(x) == len(y) == levels + 1
+    assert len(wf.differing(x, y).collect()) == 1
+    for level in range(levels + 1):
+        assert x[level].alias("x").join(y[level].alias("y"), "node").where("x.hash <> y.hash").count() == 1
+    assert x[-1].count() == 1 and x[0].count() > 10
+
+
+def test_many_differing_nodes_are_joined(spark, rows, monkeypatch):
+    other = [(i, u, t if i % 50 else t + "!") for i, u, t in rows]
+    want = audit(spark, rows, other)
+    monkeypatch.setattr(wf, "LISTED", 2)
+    assert audit(spark, rows, other) == want and len(want) == 101
+
+
+def test_ties_in_a_damaged_replica(spark):
+    """Records of one page with one url and one content are told by their number alone; a lost one is the last."""
+    rows = [(7, "u", "same"), (7, "u", "same"), (7, "u", "same"), (8, "u", "same")]
+    assert {k: v[0] for k, v in audit(spark, rows, rows[1:]).items()} == {(0, 7, 3): "missing"}
+    pages = table(spark, [(i % 40, "u", "same") for i in range(4000)])
+    statuses = {r.status for r in wf.audit(wf.stored(pages), wf.damaged(pages)).collect()}
+    assert statuses <= {"corrupt", "resized", "missing"}
 
 
 def test_equal_and_empty_replicas_agree(spark, rows):
