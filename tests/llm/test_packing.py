@@ -1,12 +1,15 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from ctxcost.llm import packing as pk
+from ctxcost.llm import queries
+from tests.oracle import DATA
 
 from .conftest import prose, words
 
@@ -130,6 +133,78 @@ def test_odd_rows_and_empty(make, odd_rows):
     assert pk.packed(make([])).collect() == []
 
 
+def joined(rows):
+    """{(doc_id, key): bytes ranges of the pieces in order}."""
+    out = defaultdict(set)
+    for r in rows:
+        out[r.doc_id, r.key].add((r.start, r.start_byte, r.end_byte))
+    return {k: [x[1:] for x in sorted(v)] for k, v in out.items()}
+
+
+def test_pieces_join_to_their_texts(make, odd_rows):
+    """Cut between characters, also of many bytes, and with nothing lost between the pieces."""
+    rng = random.Random(34)
+    rows = [*odd_rows, (60, "漢字" * 500), (61, "é" * 999 + " " + "x" * 50), (62, " lead " + " ".join(words(rng, 700)) + " tail \n")]
+    source = make(rows, extra=True)
+    keys = {(r.doc_id, r.key): r.text for r in source.selectExpr("doc_id", "xxhash64(text) AS key", "text").collect()}
+    got = joined(pk.packed(source, (16, 64), 4096).collect())
+    assert set(got) == {k for k, t in keys.items() if tokens(t)}
+    for k, ranges in got.items():
+        data = keys[k].encode()
+        assert [a for a, _ in ranges] == [0, *(b for _, b in ranges[:-1])] and ranges[-1][1] == len(data)
+        assert "".join(data[a:b].decode() for a, b in ranges) == keys[k]
+
+
+def test_starts_are_as_many_as_the_counts(docs):
+    texts = pa.array([t for _, t in docs] + ["", "a-b_c", "é漢字 x!", "\n\t "])
+    assert [len(x) for x in pk.token_starts(texts)] == pk.token_counts(texts).tolist()
+
+
+def test_windows_hold_their_pieces(make, docs):
+    source = make(docs)
+    places = pk.packed(source, (64, 256, 1024), 4096)
+    texts = {i: t.encode() for i, t in docs}
+    want = defaultdict(list)
+    for r in sorted(places.collect(), key=lambda r: r.offset):
+        want[r.tier, r.window].append(texts[r.doc_id][r.start_byte : r.end_byte].decode())
+    got = pk.contents(source, places).collect()
+    assert {(r.tier, r.window): r.text for r in got} == {k: "\n".join(v) for k, v in want.items()}
+    assert sum(r.n_tokens for r in got) == sum(tokens(t) for _, t in docs)
+
+
+FILES = sorted(Path("/opt/tokenizers").glob("byte_bpe*.json"))
+
+
+@pytest.mark.skipif(not FILES, reason="no vocabulary files")
+def test_a_vocabulary_counts_its_own_tokens(make, docs):
+    from tokenizers import Tokenizer
+
+    rows = docs[:60] + [(500, "Grüße, 漢字!"), (501, None)]
+    own = Tokenizer.from_file(str(FILES[0]))
+    count = lambda t: len(own.encode(t or "", add_special_tokens=False).ids)
+    got = Counter()
+    for r in pk.packed(make(rows), (64, 256), 4096, pk.vocabulary(str(FILES[0]))).collect():
+        got[r.doc_id] += r.n_tokens
+        assert r.n_tokens <= 256
+    assert got == +Counter({i: count(t) for i, t in rows})
+
+
+def test_the_query_equals_one_piece_at_a_time(spark):
+    """The registered query over whole small tables: its pieces are those of plain Python, and no tier has more windows than best fit by single pieces needs, but for a few."""
+    folder = f"{DATA}/sf0.001"
+    rows = queries.queries()["op8_packing"](spark, folder).collect()
+    checked(rows, pk.TIERS, pk.STEP_TOKENS)
+    largest = max(pk.TIERS)
+    want = Counter()
+    for r in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        n = tokens(r.text)
+        want.update((r.doc_id, at, min(largest, n - at)) for at in range(0, n, largest))
+    assert Counter((r.doc_id, r.start, r.n_tokens) for r in rows) == want
+    used = best_fit(Counter(n for _, _, n in want), pk.TIERS)
+    got = Counter(t for t, _ in {(r.tier, r.window) for r in rows})
+    assert sum(t * n for t, n in got.items()) <= 1.02 * sum(t * n for t, n in used.items()) + min(pk.TIERS)
+
+
 def test_the_result_is_the_same_in_any_order(make, docs):
     a, b = (sorted(map(tuple, pk.packed(make(docs).repartition(n)).collect())) for n in (1, 7))
     assert a == b
