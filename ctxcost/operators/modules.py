@@ -10,14 +10,14 @@ from .reach import reachable
 
 _EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 _TWIN = {".js": ".ts", ".jsx": ".tsx", ".mjs": ".ts", ".cjs": ".ts"}
-_BUILT = ((".js", ".ts"), (".mjs", ".ts"), (".cjs", ".ts"), (".js", ".mjs"), (".mjs", ".mjs"))
+BUILT = ((".js", ".ts"), (".mjs", ".ts"), (".cjs", ".ts"), (".js", ".mjs"), (".mjs", ".mjs"))
 
 
 def source_twins(spec: Column) -> Column:
     """A path and, for one in ``dist/``, the sources that it may be built from."""
     base = F.regexp_replace(spec, r"^\./", "")
     rest = F.substring(base, 6, 1 << 20)
-    swaps = [F.when(rest.endswith(a), F.concat(F.lit("src/"), rest.substr(F.lit(1), F.length(rest) - len(a)), F.lit(b))) for a, b in _BUILT]
+    swaps = [F.when(rest.endswith(a), F.concat(F.lit("src/"), rest.substr(F.lit(1), F.length(rest) - len(a)), F.lit(b))) for a, b in BUILT]
     return F.when(base.startswith("dist/"), F.array_compact(F.array(base, F.concat(F.lit("src/"), rest), *swaps))).otherwise(F.array(base))
 
 

@@ -147,13 +147,12 @@ def token_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.documents(spark, sf_dir).select("seq", tokens.count(F.col("text")).alias("tokens"))
 
 
-def _sampled(h: str) -> str:
-    """SQL of (tokens, bytes) of a sample given in hexadecimal: each byte of a character that the sample's ends cut is one replacement mark, a cut end is one."""
+def _decoded(h: str) -> str:
+    """SQL of the text of a sample given in hexadecimal. Each byte of a character that its beginning cuts is a replacement mark, and what its end cuts is one."""
     head, tail = f"regexp_extract({h}, '^((?:[89AB].)*)', 1)", "regexp_extract({0}, '^(?:..)*?((?:[CD].|E.(?:[89AB].)?|F.(?:[89AB].)?(?:[89AB].)?))$', 1)"
     rest = f"substr({h}, len({head}) + 1)"
-    marks = f"(len({head}) // 2 + CASE WHEN {tail.format(rest)} <> '' THEN 1 ELSE 0 END)"
-    text = f"decode(unhex(left({rest}, len({rest}) - len({tail.format(rest)}))))"
-    return f"{{{{'n': {_COUNT.format(t=text)} + {marks}, 'b': strlen({text}) + 3 * {marks}}}}}"
+    cut = tail.format(rest)
+    return f"repeat('\ufffd', len({head}) // 2) || decode(unhex(left({rest}, len({rest}) - len({cut})))) || CASE WHEN {cut} <> '' THEN '\ufffd' ELSE '' END"
 
 
 _SAMPLED = f"""{_FILES}, cut AS (
@@ -161,11 +160,11 @@ _SAMPLED = f"""{_FILES}, cut AS (
 ), two AS (
   SELECT *, substr(h, 1, 16384) AS one, substr(h, 2 * mid + 1, 16384) AS other FROM cut WHERE bytes > 16384 AND tier <> 0 AND kind <> 'binary' AND seq % 12 <> 3
 ), n AS (
-  SELECT seq, bytes, {_sampled("one").replace("{{", "{").replace("}}", "}")} AS x, {_sampled("other").replace("{{", "{").replace("}}", "}")} AS y FROM two
+  SELECT seq, bytes, {_decoded("one")} || {_decoded("other")} AS t FROM two
 )"""
 
 
-@query(f"""WITH {_SAMPLED} SELECT seq, bytes, CAST(floor(bytes / ((x.b + y.b) / (x.n + y.n)::DOUBLE) + 0.5) AS BIGINT) AS tokens, true AS estimated FROM n
+@query(f"""WITH {_SAMPLED} SELECT seq, bytes, CAST(floor(bytes / (strlen(t) / {_COUNT.format(t='t')}::DOUBLE) + 0.5) AS BIGINT) AS tokens, true AS estimated FROM n
 UNION ALL SELECT seq, bytes, tokens, kind = 'binary' OR seq % 12 = 3 FROM cut WHERE seq NOT IN (SELECT seq FROM two)""")
 def token_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files above sixteen kilobytes from two samples of their bytes."""

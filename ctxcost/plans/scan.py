@@ -40,10 +40,11 @@ class Result:
 
 
 def classified(listed: DataFrame) -> DataFrame:
-    """With their kind; the first bytes are read of the files whose path doesn't tell it."""
+    """With their kind; the first bytes are read of the files whose path doesn't tell it, and only these are sent to Python."""
     path = F.col("path")
-    sniffed = walk.with_content(listed, kinds.needs_sniff(path), F.lit(kinds.SNIFF_BYTES))
-    return sniffed.withColumn("kind", kinds.classify(path, F.col("content"))).drop("content", "middle")
+    known = listed.where(~kinds.needs_sniff(path)).withColumn("kind", kinds.classify(path))
+    sniffed = walk.with_content(listed.where(kinds.needs_sniff(path)), F.lit(True), F.lit(kinds.SNIFF_BYTES))
+    return known.unionByName(sniffed.withColumn("kind", kinds.classify(path, F.col("content"))).drop("content", "middle"))
 
 
 def read(files: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..operators import ignore_rules
 from ..schema import FILES
 
+ROWS_A_TASK = 2000
 IGNORE_FILES = (".gitignore", ".claudeignore", ".cursorignore")
 
 
@@ -117,9 +118,10 @@ def listing(root: str, limits: Limits = Limits()) -> pa.Table:
 
 def files(spark: SparkSession, listed: pa.Table) -> DataFrame:
     """A listing as a DataFrame, spread by path."""
-    return spark.createDataFrame(listed, FILES).repartition(max(1, min(listed.num_rows // 500 + 1, 10_000)), "path")
+    return spark.createDataFrame(listed, FILES).repartition(max(1, min(listed.num_rows // ROWS_A_TASK + 1, 10_000)), "path")
 
 
+#: Bytes of files that a task holds at a time.
 _HELD = 16 << 20
 
 
