@@ -4,8 +4,12 @@ import pytest
 from pyspark.sql import types as T
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
-#: Columns whose names operators might use themselves.
-EXTRA = T.StructType([*DOCS, *(T.StructField(n, T.LongType()) for n in ("id", "key", "h", "pos", "sh", "node", "score", "row", "chunk", "len", "rank", "start"))])
+#: Names that operators might use themselves.
+NAMES = (
+    "id", "key", "h", "pos", "sh", "node", "score", "row", "chunk", "len", "rank", "start", "item", "item_id", "w", "s", "t", "bin", "span", "spans", "size", "place", "part", "late",
+    "of_id", "of_key", "pair", "n", "x", "level", "doc", "a", "b", "tier", "window", "offset", "start_byte", "end_byte", "prefix", "shared", "y", "bytes",
+)
+EXTRA = T.StructType([*DOCS, *(T.StructField(n, T.LongType()) for n in NAMES)])
 
 
 def words(rng: random.Random, n: int) -> list[str]:
@@ -23,7 +27,7 @@ def make(spark):
     def build(rows, extra=False):
         data = [(i, t, "en", "s", len(t) if t is not None else None) for i, t in rows]
         if extra:
-            return spark.createDataFrame([(*r, *range(100, 112)) for r in data], EXTRA)
+            return spark.createDataFrame([(*r, *range(100, 100 + len(NAMES))) for r in data], EXTRA)
         return spark.createDataFrame(data, DOCS)
 
     return build

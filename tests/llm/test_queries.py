@@ -85,6 +85,39 @@ def test_pipeline_equals_brute_force(spark):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, placed))
 
 
+def test_odd_rows_through_all_stages(spark, make, odd_rows, tmp_path):
+    """Null ids and texts, blanks, repeats, a very long text and extra columns of clashing names; each case as the docstring of the pipeline says."""
+    folder = f"{DATA}/sf0.001"
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    rows = [*odd_rows, (None, odd_rows[1][1]), (70, item), (71, odd_rows[12][1])]
+    docs = make(rows, extra=True)
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        before = kept
+        kept = stage(spark, kept, folder)
+        assert kept.columns == docs.columns, name
+        kept.write.parquet(f"{tmp_path}/{name}")
+        kept = spark.read.parquet(f"{tmp_path}/{name}")
+        assert kept.exceptAll(before).where("n_chars IS NULL").count() == 0
+    out = {}
+    for r in kept.collect():
+        out.setdefault(r.doc_id, []).append(r.text)
+    assert None in out and all(t and t.strip() for own in out.values() for t in own)
+    assert 5 not in out and 70 not in out and 1 not in out and 2 not in out and 3 not in out
+    assert out[4] == [odd_rows[5][1]] * 2 and out[6] == [odd_rows[8][1]] and out[7] == ["word"]
+    assert sum(d in out for d in (9, 71)) == 1
+    placed = stages_last(spark, kept, folder)
+    assert {r.doc_id for r in placed} == set(out)
+    scored = dict(corpus_pipeline.STAGES)["quality classifier"](spark, docs, folder)
+    assert scored.columns == docs.columns and scored.exceptAll(docs).count() == 0
+
+
+def stages_last(spark, docs, folder):
+    placed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    pk.checked(placed, (512, 2048, 8192, 32768), 1 << 20)
+    return placed
+
+
 def test_an_empty_corpus(spark, tmp_path):
     for n in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{DATA}/sf0.001/{n}.parquet").limit(0).write.parquet(f"{tmp_path}/{n}.parquet")
