@@ -2,6 +2,11 @@
 
 ``run(spark, sf_dir)`` applies STAGES to the documents of ``sf_dir``. Each stage's result is written as
 Parquet to the shared folder and read again as the next one's documents.
+
+Defined cases, end to end: a null or blank text passes the classifier or not as it scores, and goes with the line stage; repeated rows (one id, one text) change and
+stay alike, as one document; a null doc_id comes last among equal lines, has no near-duplicates and stays; of texts that are equal or near, the least id
+stays; a text of any length is read whole; extra columns, whatever their names (but those that begin with ``__cc_``), pass all stages but the last unchanged, and n_chars follows the text;
+empty tables give no rows. Without labels of both kinds the classifier keeps everything, unless all labels are bad.
 """
 
 from __future__ import annotations
