@@ -1,38 +1,13 @@
-"""Tables in the folder that all executors share, named by spark.checkpoint.dir."""
+"""Tables in the shared folder, and joins with sides of a checked size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..store import clean, fresh_dir, remove, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only for a local master that names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="ctxcost-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/ctxcost/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: its lineage is cut, and losing an executor loses no part of it."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+__all__ = ["BROADCAST_KEYS", "clean", "few", "fresh_dir", "remove", "shared_dir", "without", "written"]
 
 #: A side of a join up to this number of rows of one long is sent to every executor (some 16 MB); a larger one is shuffled.
 BROADCAST_KEYS = 500_000
@@ -48,15 +23,3 @@ def without(docs: DataFrame, on: Column, gone: DataFrame) -> DataFrame:
     gone = written(gone, "gone")
     few = gone.count() <= BROADCAST_KEYS
     return docs.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), on == gone["__cc_gone"], "left_anti")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a path of the shared folder, wherever that is."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def clean(spark: SparkSession) -> None:
-    """Deletes every table that ``written`` left in the shared folder; call it when no result is in use."""
-    remove(spark, f"{shared_dir(spark)}/ctxcost")

@@ -182,7 +182,7 @@ class Scorer:
         gain = np.where(rest > 0, share[:, 2] / np.maximum(rest, 1), 0.0) / low
         pair = v << np.uint64(CLASS_BITS) | w
         known = self.find(pair)
-        more = np.where(known >= 0, np.log1p(gain * (self.often[known] - n)), 0.0)
+        more = np.log1p(gain * np.where(known >= 0, self.often[known] - n, 0))
         logp = np.bincount(row, n * (np.log(low) + more), docs)
         cold = np.flatnonzero((known < 0) & (gain > 0))
         return size, logp, [row[cold], pair[cold].view(np.int64), n[cold], gain[cold]]

@@ -54,12 +54,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as they read from the compacted table."""
+    """All documents as they read from the compacted table, whose manifest names nothing but settled shards, each of its size and all of its rows."""
     table = tiered_shards.ShardTable(spark, fresh_dir(spark, "shards"))
-    table.append(_table(spark, sf_dir, "documents"))
-    table.compact()
+    first = table.append(_table(spark, sf_dir, "documents"))
+    last = table.compact()
+    whole = sum(s.rows for s in first.shards) == sum(s.rows for s in last.shards)
     table.vacuum()
-    return table.read().select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", "source", "n_chars")
+    settled = whole and table.settled() and table.versions() == [last.version]
+    return table.read().select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", "source", "n_chars", F.lit(settled).alias("settled"))
 
 
 def op10_embedding_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +183,7 @@ SELECT file, off AS offset, length, page_id, n, CASE mark WHEN 'a7' THEN 'corrup
 FROM o WHERE mark IN ('a7', 'b3', 'c9')
 """
 
-_OP9 = "SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents"
+_OP9 = "SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars, true AS settled FROM documents"
 
 #: Classes and links by comparing all vectors.
 _NEAR = """

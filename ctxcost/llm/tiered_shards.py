@@ -213,6 +213,14 @@ class ShardTable:
             if not made:
                 return self.manifest()
 
+    def settled(self, target: int = TARGET_BYTES, min_runs: int = 4, max_runs: int = 32, small: int = ARRIVAL_BYTES) -> bool:
+        """Whether no tier has enough runs to merge, no shard is far beyond the target, and each is there with the rows that the manifest says."""
+        m = self.manifest()
+        if m is None:
+            return True
+        there = {f.getPath().getName(): f.getLen() for f in self._fs.listStatus(self._path(f"{self.root}/shards"))}
+        return not merges(m.shards, target, min_runs, max_runs, small) and all(s.bytes <= 2 * target and there.get(s.name) == s.bytes for s in m.shards) and self.read().count() == sum(s.rows for s in m.shards)
+
     def vacuum(self, keep: int = 1) -> int:
         """Deletes the manifests but the last ``keep``, and the shards that none of those names. Not while a writer is at work."""
         known = self.versions()

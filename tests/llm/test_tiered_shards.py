@@ -97,3 +97,16 @@ def test_an_empty_table(make, shards):
     assert shards.compact() is None
     shards.append(make([]))
     assert shards.read().collect() == [] and shards.compact().shards == ()
+
+
+def test_what_is_settled(make, shards):
+    rng = random.Random(66)
+    assert shards.settled()
+    for k in range(6):
+        shards.append(make(rows(rng, 40, 100 * k)).repartition(2))
+    assert not shards.settled()
+    shards.compact()
+    assert shards.settled()
+    m = shards.manifest()
+    wrong = ts.Shard(m.shards[0].name, m.shards[0].rows, m.shards[0].bytes + 1)
+    assert shards.commit(ts.Manifest(m.version + 1, m.schema, (wrong, *m.shards[1:]))) and not shards.settled()
