@@ -9,13 +9,27 @@ The coordinates are those of the manifest, that is of the first replica: a recor
 leaves a gap there and doesn't move what follows. A record that only the other replica has is placed in a leaf
 of its own for its file. Trees are written to the shared folder, as an archive keeps them beside its files.
 
+Replicas are either built from a pages table (``stored``) or read from folders of uncompressed WARC files (``read``), each
+file mapped into memory and hashed record by record, so that a file's size doesn't matter. Of files, the offsets are the real ones.
+
+Defined cases of files: a record whose stated length doesn't end at a record's end runs to the next record's beginning; what
+has no readable header is a record without a page, so that the other replica's is missing and this one extra; an empty file
+has no records; a file that one replica lacks is missing record by record.
+
 Defined cases: a null url or html is empty; null page ids share the file -1; several records of one page are
 numbered by url and digest; two empty replicas agree; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import mmap
+import os
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,6 +39,9 @@ RECORDS_PER_FILE = 1024
 RANGE_BYTES = 1 << 18
 FANOUT_BITS = 4
 LISTED = 256
+_BLOCK = 1 << 20
+_NEXT = b"\r\n\r\nWARC/"
+_COLUMNS = "file long, page_id long, url string, offset long, length long, digest string"
 
 
 def record(html: Column | str = "html") -> Column:
@@ -45,8 +62,70 @@ def stored(pages: DataFrame, content: Column | None = None) -> DataFrame:
         "page_id", F.coalesce("url", F.lit("")).alias("url"), bytes_.alias("bytes"),
     )
     rows = rows.select("file", "page_id", "url", F.octet_length("bytes").cast("long").alias("length"), F.sha2("bytes", 256).alias("digest"))
-    page = W.partitionBy("file", "page_id").orderBy("url", "digest")
-    return rows.withColumn("n", F.row_number().over(page).cast("long")).select("file", "page_id", "n", "length", "digest")
+    return _numbered(rows).select("file", "page_id", "n", "length", "digest")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("n", F.row_number().over(W.partitionBy("file", "page_id").orderBy("url", "digest")).cast("long"))
+
+
+def _page(record_id: bytes) -> int | None:
+    """The number in an id of ``record``, or 63 bits of any other id's hash."""
+    own = re.fullmatch(rb"<urn:page:(-?\d{0,18})>", record_id)
+    if own:
+        return int(own[1]) if own[1] not in (b"", b"-") else None
+    return int.from_bytes(hashlib.sha256(record_id).digest()[:8]) >> 1
+
+
+def cut(data: bytes | mmap.mmap) -> Iterator[tuple[int, int, int | None, str]]:
+    """(offset, length, page, url) of the records of a WARC file, which cover it without gaps."""
+    at = 0
+    while at < len(data):
+        head = data.find(b"\r\n\r\n", at)
+        fields = {}
+        if head >= 0 and data[at : at + 5] == b"WARC/":
+            for line in bytes(data[at:head]).split(b"\r\n")[1:]:
+                name, _, value = line.partition(b":")
+                fields[name.strip().lower()] = value.strip()
+        size = fields.get(b"content-length", b"")
+        end = head + 4 + int(size) + 4 if size.isdigit() and len(size) < 19 else -1
+        if end < 0 or end > len(data) or data[end - 4 : end] != b"\r\n\r\n" or end < len(data) and data[end : end + 5] != b"WARC/":
+            following = data.find(_NEXT, head if fields else at)
+            end = following + 4 if following >= 0 else len(data)
+        page = _page(fields[b"warc-record-id"]) if b"warc-record-id" in fields else None
+        yield at, end - at, page, fields.get(b"warc-target-uri", b"").decode("utf-8", "replace")
+        at = end
+
+
+def names(*folders: str) -> list[str]:
+    """The names of all WARC files of some replicas, in order; a file's number is its place here."""
+    return sorted({name for folder in folders for name in os.listdir(folder) if name.endswith(".warc")})
+
+
+def read(spark: SparkSession, folder: str, of: list[str]) -> DataFrame:
+    """(file, page_id, n, offset, length, digest) of the records of the files ``of`` in ``folder``, which all executors must see."""
+    files = spark.createDataFrame([(k, os.path.join(folder, name)) for k, name in enumerate(of)], "file long, path string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("file", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("digest", pa.string())])
+        for b in batches:
+            for file, path in zip(b.column("file").to_pylist(), b.column("path").to_pylist()):
+                if not os.path.exists(path) or not os.path.getsize(path):
+                    continue
+                held = []
+                with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+                    for at, length, page, url in cut(data):
+                        digest = hashlib.sha256()
+                        for i in range(at, at + length, _BLOCK):
+                            digest.update(data[i : min(i + _BLOCK, at + length)])
+                        held.append((file, page, url, at, length, digest.hexdigest()))
+                        if len(held) == 4096:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
+                            held = []
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
+
+    return _numbered(files.repartition(max(1, len(of))).mapInArrow(run, _COLUMNS)).select("file", "page_id", "n", "offset", "length", "digest")
 
 
 def manifest(records: DataFrame) -> DataFrame:
@@ -117,13 +196,13 @@ def differing(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
 
 
 def audit(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(file, offset, length, page_id, n, status) of the records that differ between two replicas given by ``stored``.
+    """(file, offset, length, page_id, n, status) of the records that differ between two replicas given by ``stored`` or both by ``read``.
 
     status: ``corrupt`` (same length, other content), ``resized``, ``missing`` in the second, or ``extra`` in it;
     length is the first replica's, or the extra record's; offset is null for extra ones.
     """
-    a = written(manifest(first), "replica-a")
-    b = written(placed(second, a), "replica-b")
+    a = written(first if "offset" in first.columns else manifest(first), "replica-a")
+    b = written(placed(second.drop("offset"), a), "replica-b")
     bits, levels = shape(a, b)
     bad = differing(tree(a, bits, levels), tree(b, bits, levels))
     x, y = (r.withColumn("node", _leaf(bits)).join(bad, "node", "left_semi") for r in (a, b))

@@ -114,3 +114,54 @@ def test_the_drill_damages_what_it_says(spark, rows):
     marks = pages.select(F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2).alias("m")).where("m IN ('a7', 'b3', 'c9')").groupBy("m").count().collect()
     want = {{"a7": "corrupt", "b3": "resized", "c9": "missing"}[r.m]: r["count"] for r in marks}
     assert {s: got.count(s) for s in set(got)} == want and len(want) == 3
+
+
+def test_cut_covers_any_bytes():
+    """Records follow one another without gaps, whatever the bytes are."""
+    rng = random.Random(31)
+    one = b"WARC/1.0\r\nWARC-Record-ID: <urn:page:7>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert list(wf.cut(one + one)) == [(0, len(one), 7, ""), (len(one), len(one), 7, "")]
+    assert list(wf.cut(b"")) == []
+    for _ in range(300):
+        data = bytearray(one * 4)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(data))
+            data[k : k + rng.randint(0, 2)] = bytes(rng.choices(b"x\r\n9W", k=rng.randint(0, 2)))
+        at = 0
+        for start, length, _, _ in wf.cut(bytes(data)):
+            assert start == at and length > 0
+            at += length
+        assert at == len(data)
+
+
+def test_files_are_audited(spark, tmp_path):
+    """Replicas as WARC files: read back they're what ``stored`` says, and each planted fault is found where it is."""
+    rows = [(i, f"http://h/{i}", f"<p>{i}\r\n\r\n" + "é" * (i % 50)) for i in range(3000)] + [(5, "http://h/again", None), (None, None, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    records = pages.select(F.coalesce(F.expr(f"page_id div {wf.RECORDS_PER_FILE}"), F.lit(9)).alias("file"), "page_id", "url", wf.record().cast("binary").alias("b"))
+    files = {}
+    for r in sorted(records.collect(), key=lambda r: (r.page_id is None, r.page_id or 0, r.url or "")):
+        files.setdefault(f"{r.file}.warc", []).append((r.page_id, bytes(r.b)))
+    x, y = tmp_path / "x", tmp_path / "y"
+    x.mkdir(), y.mkdir()
+    for name, parts in files.items():
+        (x / name).write_bytes(b"".join(b for _, b in parts))
+        harmed = []
+        for page, b in parts:
+            if page == 700:
+                b = b[:-6] + b"!" + b[-5:]
+            elif page == 1500:
+                b = b[:-5] + b[-4:]
+            elif page == 1501:
+                continue
+            harmed.append(b)
+        if name != "9.warc":
+            (y / name).write_bytes(b"".join(harmed))
+    (y / "a.warc").write_bytes(b"")
+    of = wf.names(str(x), str(y))
+    first = wf.read(spark, str(x), of)
+    known = {tuple(r) for r in wf.manifest(wf.stored(pages)).where("page_id IS NOT NULL").select("file", "page_id", "n", "offset", "length", "digest").collect()}
+    assert {tuple(r) for r in first.where("page_id IS NOT NULL").collect()} == known and len(known) == 3001
+    got = {(r.page_id, r.status) for r in wf.audit(first, wf.read(spark, str(y), of)).collect()}
+    assert got == {(700, "corrupt"), (1500, "resized"), (1501, "missing"), (None, "missing")}
+    assert wf.audit(first, wf.read(spark, str(x), of)).collect() == []
