@@ -238,7 +238,7 @@ def settings_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @F.udf(_struct(n=_S, bar=_S, line=_S), useArrow=True)
 def _cell(n: int, budget: int) -> tuple[str, str, str]:
-    return report.format_tokens(n), report.bar(n, budget), f"  {f'p{n}':<50}{report.format_tokens(n)}"
+    return report.format_cell(n), report.bar(n, budget), f"  {f'p{n}':<50}{report.format_cell(n)}"
 
 
 _N = "CASE WHEN n >= 1000000 THEN CAST(n // 1000000 + CASE WHEN round_ = 10 THEN 1 ELSE 0 END AS VARCHAR) || '.' || round_ % 10 || 'M' WHEN n >= 100000 THEN CAST((n + 500) // 1000 AS VARCHAR) || 'k' ELSE format('{:,}', n) END"

@@ -44,6 +44,15 @@ def format_tokens(n: float) -> str:
     return f"{_rounded(n / 1000)}k" if n >= 100_000 else f"{n:,}"
 
 
+def format_cell(n: float) -> str:
+    """``format_tokens`` as the table prints it: half a tenth of a million goes up, in whole numbers, where the other takes a tie to the even digit."""
+    n = _rounded(n)
+    if n < 1_000_000:
+        return format_tokens(n)
+    tenths = (n + 50_000) // 100_000
+    return f"{tenths // 10}.{tenths % 10}M"
+
+
 def bar(resident: float, budget: float) -> str:
     full = max(0, min(_BAR, _rounded(resident / budget * _BAR))) if budget > 0 else 0
     return "█" * full + "░" * (_BAR - full)
@@ -53,22 +62,22 @@ def render_table(result: Result) -> str:
     """Totals, then the twenty worst files by what to do about them, or the resident files if nothing was found."""
     r = result.rollup
     out = [
-        f"{'Resident context':<18}{format_tokens(r.resident_tokens) + ' tok':<12}{bar(r.resident_tokens, r.budget)}  (budget {format_tokens(r.budget)} tok)  {'+' if r.overage_pct >= 0 else ''}{r.overage_pct}%",
-        f"{'Repo reachable':<18}{format_tokens(r.reachable_tokens)} tok",
+        f"{'Resident context':<18}{format_cell(r.resident_tokens) + ' tok':<12}{bar(r.resident_tokens, r.budget)}  (budget {format_cell(r.budget)} tok)  {'+' if r.overage_pct >= 0 else ''}{r.overage_pct}%",
+        f"{'Repo reachable':<18}{format_cell(r.reachable_tokens)} tok",
     ]
     if r.ambient_tokens > 0:
-        out.append(f"{'Ambient noise':<18}{format_tokens(r.ambient_tokens)} tok")
+        out.append(f"{'Ambient noise':<18}{format_cell(r.ambient_tokens)} tok")
     found = not result.findings.isEmpty()
     if found:
         n = result.ranked.count()
-        out.append(f"{'Top trim':<18}{format_tokens(r.recoverable_tokens)} tok recoverable across {n} file{'s' * (n != 1)}")
+        out.append(f"{'Top trim':<18}{format_cell(r.recoverable_tokens)} tok recoverable across {n} file{'s' * (n != 1)}")
     out.append("")
     if not found:
         out.append("No findings — showing resident files by token cost.")
         resident = score.resident_top(result.files).orderBy(F.desc("tokens"), "seq").collect()
         if resident:
             out += ["", f"  {'RESIDENT':<50}tokens"]
-            out += [f"  {x.path:<50}{format_tokens(x.tokens)}{' ~' * x.estimated}" for x in resident]
+            out += [f"  {x.path:<50}{format_cell(x.tokens)}{' ~' * x.estimated}" for x in resident]
         else:
             out.append("(no T0 resident files found — no CLAUDE.md / AGENTS.md / .cursorrules in this tree)")
         return "\n".join(out)

@@ -80,5 +80,10 @@ def test_numbers():
     assert [report.bar(r, 10) for r in (0, 5, 99)] == ["░" * 10, "█" * 5 + "░" * 5, "█" * 10] and report.bar(5, 0) == "░" * 10
 
 
+def test_cells_round_halves_up():
+    """Ties that a double holds exactly, and others; the SQL of report_cells has the same arithmetic."""
+    assert [report.format_cell(n) for n in (4812, 312_400, 1_250_000, 752_250_000, 1_150_000, 1_249_999, 1_950_000, 999_999)] == ["4,812", "312k", "1.3M", "752.3M", "1.2M", "1.2M", "2.0M", "1000k"]
+
+
 def test_module_entry(tree):
     assert subprocess.run(["python", "-m", "ctxcost", "--nonsense"], capture_output=True, timeout=120).returncode == 2
