@@ -39,7 +39,8 @@ def resolve(wanted: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """
     order = F.col("spec_ord") if "spec_ord" in wanted.columns else F.lit(0)
     tries = wanted.select(*keys, order.alias("o"), F.posexplode(candidates(F.col("spec"))).alias("i", "path"))
-    return tries.join(known.select("path").distinct(), "path").groupBy(*keys).agg(F.min_by("path", F.struct("o", "i")).alias("target"))
+    # Both sides grow with the files, and sizes taken from the columns of a scan are far too small: neither may be broadcast.
+    return tries.join(known.select("path").distinct().hint("merge"), "path").groupBy(*keys).agg(F.min_by("path", F.struct("o", "i")).alias("target"))
 
 
 def apply_aliases(specs: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -68,19 +69,23 @@ def _escapes(path: Column) -> Column:
     return depth["least"] < 0
 
 
+def _taken(field: str, whole: str) -> Column:
+    """Array of (spec, names, whole) of a module's imports or re-exports."""
+    out = F.transform(f"module.{field}", lambda u: F.struct(u["source"].alias("spec"), u["names"].alias("names"), u[whole].alias("whole")))
+    return F.coalesce(out, F.array().cast("array<struct<spec:string,names:array<string>,whole:boolean>>"))
+
+
 def uses(modules: DataFrame, known: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(src, dst, names, whole) of each resolved import and re-export; modules are (path, module)."""
-    each = (
-        modules.select(F.col("path").alias("src"), F.explode("module.imports").alias("u")).select("src", F.col("u.source").alias("spec"), F.col("u.names").alias("names"), F.col("u.namespace").alias("whole"))
-        .unionByName(modules.select(F.col("path").alias("src"), F.explode("module.reexports").alias("u")).select("src", F.col("u.source").alias("spec"), F.col("u.names").alias("names"), F.col("u.star").alias("whole")))
-    )
+    taken = F.concat(_taken("imports", "namespace"), _taken("reexports", "star"))
+    each = modules.select(F.col("path").alias("src"), F.explode(taken).alias("u")).select("src", "u.*")
     pairs = each.select("src", "spec").distinct()
     wanted = pairs.where(F.col("spec").rlike(r"^\.\.?/")).select("src", F.col("spec").alias("raw"), F.lit(0).alias("spec_ord"), paths.resolve(F.col("spec"), F.col("src")).alias("spec"))
     if aliases is not None:
         mapped = apply_aliases(pairs.select("spec").distinct(), aliases)
-        wanted = wanted.unionByName(pairs.join(mapped, "spec").select("src", F.col("spec").alias("raw"), "spec_ord", F.col("mapped").alias("spec")))
+        wanted = wanted.unionByName(pairs.join(mapped.hint("merge"), "spec").select("src", F.col("spec").alias("raw"), "spec_ord", F.col("mapped").alias("spec")))
     found = resolve(wanted.where("spec <> ''"), known, ["src", "raw"])
-    return each.join(found.withColumnRenamed("raw", "spec"), ["src", "spec"]).select("src", F.col("target").alias("dst"), "names", F.coalesce("whole", F.lit(False)).alias("whole"))
+    return each.join(found.withColumnRenamed("raw", "spec").hint("merge"), ["src", "spec"]).select("src", F.col("target").alias("dst"), "names", F.coalesce("whole", F.lit(False)).alias("whole"))
 
 
 def edges(used: DataFrame) -> DataFrame:
@@ -99,7 +104,7 @@ def entrypoints(files: DataFrame, declared: DataFrame | None = None) -> DataFram
 def orphans(files: DataFrame, used: DataFrame, entries: DataFrame) -> DataFrame:
     """(path, orphan_module) of every eligible file."""
     seen = reachable(entries, edges(used)).select(F.col("node").alias("path"), F.lit(False).alias("__orphan"))
-    return files.select("path").join(seen, "path", "left").select("path", F.coalesce("__orphan", F.lit(True)).alias("orphan_module"))
+    return files.select("path").join(seen.hint("merge"), "path", "left").select("path", F.coalesce("__orphan", F.lit(True)).alias("orphan_module"))
 
 
 def dead_exports(modules: DataFrame, used: DataFrame, entries: DataFrame) -> DataFrame:
@@ -107,7 +112,7 @@ def dead_exports(modules: DataFrame, used: DataFrame, entries: DataFrame) -> Dat
     exported = modules.select("path", F.posexplode(F.array_distinct("module.exported_names")).alias("i", "name"))
     taken = used.select(F.col("dst").alias("path"), F.explode("names").alias("name")).distinct()
     exempt = used.where("whole").select(F.col("dst").alias("path")).unionByName(entries.select(F.col("node").alias("path"))).distinct()
-    dead = exported.join(exempt, "path", "left_anti").join(taken, ["path", "name"], "left_anti")
+    dead = exported.join(exempt.hint("merge"), "path", "left_anti").join(taken.hint("merge"), ["path", "name"], "left_anti")
     return dead.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "name"))), lambda x: x["name"]).alias("dead_export_symbols"))
 
 

@@ -14,6 +14,7 @@ from ..functions import docs, kinds, tokens
 from ..operators import detect, history, ignore_rules, modules
 from ..schema import Context
 from ..sources import aliases, config, manifest, script
+from ..store import written
 from . import corpus, report
 from .registry import query
 
@@ -115,7 +116,7 @@ _SURFACE = [
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(spark, sf_dir).select("k", script.module(_chosen(_MODULES)).alias("module"))
+    return corpus.spread(_parts(spark, sf_dir)).select("k", script.module(_chosen(_MODULES)).alias("module"))
 
 
 @query(f"SELECT k, what, {_filled('source')} AS source, {_filled('name')} AS name, whole FROM ({_cases(_SURFACE, 'what, source, name, whole', len(_MODULES))})")
@@ -133,8 +134,8 @@ _EDGES = {(k, to) for k, what, source, *_ in _SURFACE if what != "export" and so
 @query(f"""WITH e AS (SELECT k, CASE up WHEN 1 THEN k + 1 ELSE k END AS dst FROM ({_cases([(k, int(to == "@")) for k, to in sorted(_EDGES)], "up", len(_MODULES))}))
 SELECT DISTINCT 'src/m' || k || '.ts' AS src, 'src/m' || dst || '.ts' AS dst FROM e WHERE dst IN (SELECT p_partkey FROM part)""")
 def parsed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The module graph from texts: parsed, resolved against the known files, and joined."""
-    rows = _parsed(spark, sf_dir).withColumn("path", F.concat(F.lit("src/m"), F.col("k").cast("string"), F.lit(".ts")))
+    """The module graph from texts: parsed once, resolved against the known files, and joined."""
+    rows = written(_parsed(spark, sf_dir).select(F.concat(F.lit("src/m"), F.col("k").cast("string"), F.lit(".ts")).alias("path"), "module"), "modules")
     return modules.edges(modules.uses(rows.select("path", "module"), rows.select("path")))
 
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import types as T
 
 from ctxcost.operators import modules, reach, tiers
 from ctxcost.schema import MODULE
@@ -109,3 +110,15 @@ def test_tiers(spark):
     files = spark.createDataFrame([(p, kind.get(p, "doc")) for p in texts], "path string, kind string")
     got = {r.path: r.tier for r in tiers.assign(files, spark.createDataFrame(list(texts.items()), "path string, text string")).collect()}
     assert got == {"CLAUDE.md": 0, "imports/style.md": 0, "deep/a.mdx": 0, "vendor/sdk.js": 2, "src/index.ts": 1, "vendor/AGENTS.md": 0}
+
+
+def test_no_side_of_the_graph_is_broadcast(spark):
+    """Sizes guessed from a scan's columns are far below what the texts and candidates of a large tree take in the driver."""
+    rows = [(f"m{i}.ts", script.parse(f"import {{f}} from './m{i + 1}'\nexport * from './m{i + 2}'", ".ts")) for i in range(9)]
+    mods = spark.createDataFrame(rows, T.StructType([T.StructField("path", T.StringType()), T.StructField("module", MODULE)]))
+    files = mods.select("path")
+    used = modules.uses(mods, files)
+    for df in (modules.edges(used), modules.dead_exports(mods, used, files.limit(1).withColumnRenamed("path", "node"))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {(r.src, r.dst) for r in modules.edges(used).collect()} == {(f"m{i}.ts", f"m{j}.ts") for i in range(9) for j in (i + 1, i + 2) if j < 9}
