@@ -6,23 +6,26 @@ reason, suggest). A reason is made of templates and metadata, never of file cont
 
 from __future__ import annotations
 
+import math
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import kinds
-from ..functions.docs import hamming
 from ..schema import DAY, DEFAULT_BUDGET, Context
 from ..store import written
 
 RESIDENT_SHARE = 0.3
 OUTLIER_LEAST, OUTLIER_RANK = 20, 0.99
 NEAR_BITS = 10
-BLOCK_PRINTS = 2048
+LEAST_PRINTS, BLOCK_PRINTS, PAIRS_AT_ONCE = 2048, 65_536, 1 << 20
 COLD_TOKENS, COLD_DAYS = 1000, 180
 
 Detector = Callable[[DataFrame, Context], DataFrame]
@@ -92,24 +95,109 @@ def stale_doc(files: DataFrame, ctx: Context) -> DataFrame:
     return finding(seen.where("gone > 0"), 4, "stale-doc", clamp(0.4 + F.col("gone") / F.col("n") * 0.55, 0.4, 0.95), "review", reason)
 
 
+def _prints(files: DataFrame) -> DataFrame:
+    """(seq, path, fp) of the documents that have a fingerprint; a table, as each fingerprint takes a text to read."""
+    docs = files.where("kind = 'doc'").select(F.col("seq").cast("long").alias("seq"), "path", F.col("content_simhash").alias("fp"))
+    return written(docs, "fingerprints").where("fp IS NOT NULL AND seq IS NOT NULL")
+
+
+def _cells(batches: Iterator[pa.RecordBatch], grid: int) -> Iterator[tuple[pa.Table, pa.Table]]:
+    """(early, late) of each cell, of rows sorted by cell, late and seq; a cell of one block has that twice."""
+
+    def parted(cell: int, held: list[pa.RecordBatch]) -> tuple[pa.Table, pa.Table]:
+        own = pa.Table.from_batches(held).combine_chunks()
+        n = own.num_rows - int(own.column("late").to_numpy().sum())
+        return (own, own) if cell % (grid + 1) == 0 else (own.slice(0, n), own.slice(n))
+
+    now, held = -1, []
+    for batch in batches:
+        cell = batch.column("cell").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)] if len(cell) else []
+        for i, j in pairwise(cuts):
+            if held and cell[i] != now:
+                yield parted(now, held)
+                held = []
+            now = int(cell[i])
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield parted(now, held)
+
+
+def _near(cells: Iterator[tuple[pa.Table, pa.Table]], bits: int) -> Iterator[tuple[pa.Table, pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+    """(early, late, i, j, d): the rows of both, about ``PAIRS_AT_ONCE`` pairs at a time, that are within ``bits`` bits."""
+    for early, late in cells:
+        a, b = early.column("seq").to_numpy(), late.column("seq").to_numpy()
+        x, y = (t.column("fp").to_numpy().view(np.uint64) for t in (early, late))
+        if max(x.max(initial=0), y.max(initial=0)) < 1 << 32:
+            x, y = x.astype(np.uint32), y.astype(np.uint32)
+        own, step = early is late, max(1, PAIRS_AT_ONCE // max(1, len(y)))
+        for at in range(0, len(x), step):
+            skip = int(np.searchsorted(b, a[at], "right")) if own else 0
+            if skip == len(y):
+                continue
+            d = np.bitwise_count(x[at : at + step, None] ^ y[skip:]).ravel()
+            hit = np.flatnonzero(d <= bits)
+            i, j = np.divmod(hit, len(y) - skip)
+            i, j, d = i + at, j + skip, d[hit]
+            if own:
+                later = b[j] > a[i]
+                i, j, d = i[later], j[later], d[later]
+            yield early, late, i, j, d
+
+
+def _compared(docs: DataFrame, bits: int, out: Callable[[Iterator], Iterator[pa.RecordBatch]], columns: str) -> DataFrame:
+    """``out`` of each two of ``docs`` (seq, fp, ...) of different seq that are within ``bits`` bits.
+
+    Blocks are ranges of seq, at most about ``BLOCK_PRINTS`` documents each, and a cell of the grid's upper half compares two of them. A task
+    holds no more than that and sends on what it finds as it goes; a document is shuffled once a block, so ten times the documents are that
+    many more cells of the same size.
+    """
+    tasks, n = docs.sparkSession.sparkContext.defaultParallelism, docs.count()
+    grid = max(1, -(-n // BLOCK_PRINTS), min(-(-n // LEAST_PRINTS), math.isqrt(32 * tasks)))
+    bounds = docs.agg(F.percentile_approx("seq", [i / grid for i in range(1, grid)], 100 * grid)).first()[0] if grid > 1 else []
+    block = F.lit(0)  # equal seqs share one
+    for x in sorted(set(bounds or [])):
+        block = block + (F.col("seq") > F.lit(x)).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda j: F.struct((F.least("__block", j) * grid + F.greatest("__block", j)).alias("cell"), (F.col("__block") > j).alias("late")))
+    sent = docs.withColumn("__block", block).select(F.explode(cells).alias("__c"), *docs.columns).select("__c.*", *docs.columns)
+    # A cell's few bytes are much work, so tasks aren't left to be as few as their size asks for.
+    sent = sent.repartition(min(grid * (grid + 1) // 2, 256 * tasks), "cell").sortWithinPartitions("cell", "late", "seq")
+    return sent.mapInArrow(lambda it: out(_near(_cells(it, grid), bits)), columns)
+
+
+def _pairs(found: Iterator) -> Iterator[pa.RecordBatch]:
+    for early, late, i, j, d in found:
+        if len(d):
+            i, j = pa.array(i), pa.array(j)
+            cols = [late.column("seq").take(j), late.column("path").take(j), early.column("seq").take(i), early.column("path").take(i)]
+            yield pa.record_batch([*(c.combine_chunks() for c in cols), pa.array(d.astype(np.int32))], names=["seq", "path", "other_seq", "other", "d"])
+
+
+def _counts(found: Iterator) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(65, np.int64)
+    for *_, d in found:
+        n += np.bincount(d, minlength=65)
+    at = np.flatnonzero(n)
+    yield pa.record_batch([pa.array(at.astype(np.int64)), pa.array(n[at])], names=["d", "n"])
+
+
 def near_docs(files: DataFrame, bits: int = NEAR_BITS) -> DataFrame:
     """(seq, path, other_seq, other, d): each document and every earlier one within ``bits`` bits.
 
     Ten of 32 bits let in one pair of random documents in forty, so the result grows with the square of the documents
-    and no index prunes it. Fingerprints are compared as groups of equal ones, each two once, in the blocks of a grid that grows with their number.
+    and no index prunes it: each two are compared once, in the cells of a grid. Equal fingerprints are a join.
     """
-    docs = written(files.where("kind = 'doc'").select("seq", "path", F.col("content_simhash").alias("fp")), "fingerprints").where("fp IS NOT NULL")
-    prints = docs.select("fp").distinct()
-    grid = max(2, -(-prints.count() // BLOCK_PRINTS))
-    prints = prints.withColumn("block", F.pmod(F.xxhash64("fp"), F.lit(grid)).cast("long"))
-    # Each cell of the grid's upper half is an equi-join of the blocks of its row and its column.
-    row = prints.select(F.col("fp").alias("a"), F.explode(F.transform(F.sequence("block", F.lit(grid - 1).cast("long")), lambda j: F.col("block") * grid + j)).alias("cell"))
-    col = prints.select(F.col("fp").alias("b"), "block", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), "block"), lambda i: i * grid + F.col("block"))).alias("cell"))
-    d = hamming(F.col("a"), F.col("b"))
-    near = row.join(col, "cell").where((d <= bits) & ((F.col("a") <= F.col("b")) | (F.col("cell") != F.col("block") * grid + F.col("block")))).select("a", "b", d.alias("d"))
-    one, two = docs.select(F.struct("seq", "path").alias("x"), F.col("fp").alias("a")), docs.select(F.struct("seq", "path").alias("y"), F.col("fp").alias("b"))
-    pairs = near.join(one, "a").join(two, "b").where("a <> b OR x.seq > y.seq").select(F.greatest("x", "y").alias("late"), F.least("x", "y").alias("early"), "d")
-    return pairs.where("late.seq > early.seq").select("late.seq", "late.path", F.col("early.seq").alias("other_seq"), F.col("early.path").alias("other"), "d")
+    docs = _prints(files)
+    if bits:
+        return _compared(docs, bits, _pairs, "seq long, path string, other_seq long, other string, d int")
+    # A table's size on disk is a fraction of what its paths take in the driver, so neither side may be broadcast.
+    early = docs.select("fp", F.col("seq").alias("other_seq"), F.col("path").alias("other")).hint("merge")
+    return docs.join(early, "fp").where("seq > other_seq").select("seq", "path", "other_seq", "other", F.lit(0).alias("d"))
+
+
+def near_counts(files: DataFrame, bits: int = NEAR_BITS) -> DataFrame:
+    """(d, n): how many pairs ``near_docs`` has at each distance, counted where they are compared."""
+    return _compared(_prints(files).select("seq", "fp"), bits, _counts, "d long, n long").groupBy("d").agg(F.sum("n").alias("n"))
 
 
 def dup_doc(files: DataFrame, ctx: Context) -> DataFrame:

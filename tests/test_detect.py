@@ -66,6 +66,28 @@ def test_duplicates(records):
     assert got == {(j, i) for j in range(120) for i in range(j) if bin(prints[i] ^ prints[j]).count("1") <= 10}
 
 
+def test_near_documents_over_many_blocks(records, monkeypatch):
+    """Each two are compared once wherever the blocks end; equal prints, equal and missing seqs, and prints of more than 32 bits among them."""
+    monkeypatch.setattr(detect, "LEAST_PRINTS", 8), monkeypatch.setattr(detect, "BLOCK_PRINTS", 16), monkeypatch.setattr(detect, "PAIRS_AT_ONCE", 50)
+    seqs = [(i * 37) % 101 * 1000 for i in range(101)] + [5000, 5000, None]
+    for wide in (0, 1 << 40, -(1 << 63)):
+        rows = [{"kind": "doc", "seq": s, "content_simhash": ((i % 60) * 2654435761 & 0xFFFFFFFF) | (wide if i % 3 else 0)} for i, s in enumerate(seqs)]
+        df = records([*rows, {"kind": "doc"}, {"content_simhash": 0}])
+        known = [(r["seq"], f"f{i}", r["content_simhash"] & (1 << 64) - 1) for i, r in enumerate(rows) if r["seq"] is not None]
+        for bits in (0, 10):
+            want = sorted((s, p, t, q, (x ^ y).bit_count()) for s, p, x in known for t, q, y in known if s > t and (x ^ y).bit_count() <= bits)
+            assert sorted(map(tuple, detect.near_docs(df, bits).collect())) == want
+        assert {r.d: r.n for r in detect.near_counts(df).collect()} == {d: sum(w[4] == d for w in want) for d in {w[4] for w in want}}
+    assert detect.near_docs(records([{}])).count() == detect.near_counts(records([{}])).count() == 0
+
+
+def test_no_pair_or_path_is_broadcast(records):
+    """Tables that are small on disk took the driver's memory as hash tables."""
+    df = records([{"kind": "doc", "content_simhash": i % 5, "referenced_paths": ["x"]} for i in range(20)])
+    for got in (detect.near_docs(df, 0), detect.near_docs(df), detect.near_counts(df)):
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cold(records):
     cold = {"tokens": 5000, "last_commit": NOW - 400 * DAY}
     rows = [cold, {**cold, "last_commit": NOW - 30 * DAY}, {**cold, "tokens": 50}, {**cold, "path": "src/index.ts"}, {**cold, "tier": 0}, {"tokens": 5000}, {**cold, "path": "bin/run.js"}, {**cold, "kind": "binary"}]
