@@ -218,7 +218,7 @@ def dup_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_PAIRS} SELECT d, CAST(count(*) AS BIGINT) AS n FROM pair GROUP BY d")
 def hamming_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.near_docs(corpus.fingerprints(spark, sf_dir)).groupBy(F.col("d").cast("long").alias("d")).agg(F.count("*").alias("n"))
+    return detect.near_counts(corpus.fingerprints(spark, sf_dir))
 
 
 # Records and their detectors -------------------------------------------------
