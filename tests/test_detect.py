@@ -84,7 +84,7 @@ def test_near_documents_over_many_blocks(records, monkeypatch):
 def test_no_pair_or_path_is_broadcast(records):
     """Tables that are small on disk took the driver's memory as hash tables."""
     df = records([{"kind": "doc", "content_simhash": i % 5, "referenced_paths": ["x"]} for i in range(20)])
-    for got in (detect.near_docs(df, 0), detect.near_docs(df), detect.near_counts(df)):
+    for got in (detect.near_docs(df, 0), detect.near_docs(df), detect.near_counts(df), detect.stale_doc(df, Context(now=NOW))):
         assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
 
 
