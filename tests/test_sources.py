@@ -1,5 +1,6 @@
 import json
 import os
+import random
 import subprocess
 import warnings
 
@@ -96,6 +97,30 @@ def test_log_lines(spark):
     assert sorted((r.path, r.ts) for r in got) == [("a.txt", 1_600_000_000), ("a.txt", 1_700_000_000), ("b.txt", 1_700_000_000)]
 
 
+def test_a_long_log_is_cut_into_ranges(spark, monkeypatch):
+    """Marks carry over ranges without one, in each repository; no task has the whole log."""
+    monkeypatch.setattr(history, "LINES_AT_ONCE", 7)
+    rng = random.Random(3)
+    for repos in ([None], ["a", "b", None]):
+        rows = [(r, i * 2, f"\x01{1000 + i}" if rng.random() < 0.06 else rng.choice(["", "x", f"f{i}"])) for r in repos for i in range(90)]
+        rows += [(repos[0], None, "\x015")]
+        want = []
+        for r in repos:
+            ts = None
+            for _, _, line in sorted((x for x in rows if x[0] == r), key=lambda x: -1 if x[1] is None else x[1]):
+                if line.startswith("\x01"):
+                    ts = int(line[1:])
+                elif line and ts is not None:
+                    want.append((line, ts))
+        shuffled = rng.sample(rows, len(rows))
+        df = spark.createDataFrame(shuffled, "repo string, n long, line string")
+        got = history.parse_log(df if len(repos) > 1 else df.drop("repo"))
+        assert sorted((x.path, x.ts) for x in got.collect()) == sorted(want) and len({ts for _, ts in want}) > 5
+        windows = [x for x in str(got._jdf.queryExecution().optimizedPlan()).splitlines() if "last(ts#" in x]
+        assert windows and all("windowspecdefinition(" in x and "__range" in x.split("windowspecdefinition(")[1] for x in windows)
+    assert history.parse_log(spark.createDataFrame([], "n long, line string")).count() == 0
+
+
 def test_config(tmp_path):
     assert config.load(str(tmp_path)) == config.Config()
     (tmp_path / config.RC_NAME).write_text(json.dumps({"budget": 500, "cadence": {"1": 0.5}}))
