@@ -70,8 +70,11 @@ def t0_overweight(files: DataFrame, ctx: Context) -> DataFrame:
 
 
 def bloat_outlier(files: DataFrame, ctx: Context) -> DataFrame:
-    """Ranks come from a histogram of each kind's token counts: six kinds would be six partitions of a window over the files."""
-    sized = files.where("kind <> 'binary'").select("seq", "path", "kind", "tokens")
+    """Ranks come from a histogram of each kind's token counts: six kinds would be six partitions of a window over the files.
+
+    The counts are read twice, so they are a table: counting tokens is most of the work.
+    """
+    sized = written(files.where("kind <> 'binary'").select("seq", "path", "kind", "tokens"), "sized")
     kind = W.partitionBy("kind")
     ranks = (
         sized.groupBy("kind", "tokens").agg(F.count("*").alias("own"))

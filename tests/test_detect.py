@@ -81,6 +81,19 @@ def test_near_documents_over_many_blocks(records, monkeypatch):
     assert detect.near_docs(records([{}])).count() == detect.near_counts(records([{}])).count() == 0
 
 
+def test_outliers_read_the_files_once(records, spark):
+    """The files are a table before the histogram and its join read them, so what measures them runs once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def measured(n):
+        seen.add(1)
+        return n
+
+    rows = records([{"tokens": 10 + i} for i in range(119)] + [{"tokens": 9_999}])
+    got = run("bloat-outlier", rows.withColumn("tokens", F.udf(measured, "long")("tokens")))
+    assert [r["path"] for r in got] == ["f118", "f119"] and seen.value == 120
+
+
 def test_no_pair_or_path_is_broadcast(records):
     """Tables that are small on disk took the driver's memory as hash tables."""
     df = records([{"kind": "doc", "content_simhash": i % 5, "referenced_paths": ["x"]} for i in range(20)])
