@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,17 @@ def test_fingerprints(spark):
     assert bin(a ^ b).count("1") < bin(a ^ c).count("1")
 
 
+def test_texts_of_a_batch_are_read_in_parts(monkeypatch):
+    """However many texts a batch has, few bytes of them are compared at once; each has its own fingerprint."""
+    texts = [" ".join(f"w{i * k % 31}" for k in range(i % 40)) for i in range(300)] + [None, ""]
+    want, sizes, whole = docs._fingerprint([(t or "").encode() for t in texts]), [], docs._fingerprint
+    monkeypatch.setattr(docs, "TEXT_AT_ONCE", 1000)
+    monkeypatch.setattr(docs, "_fingerprint", lambda held: sizes.append(sum(map(len, held))) or whole(held))
+    got = list(docs._simhash.func(iter([pa.array(texts), pa.array([], pa.string()), pa.array(texts, pa.large_string())])))
+    assert [g.to_pylist() for g in got] == [want, [], want]
+    assert max(sizes) <= 1000 + max(len(t or "") for t in texts) and len(sizes) > 20
+
+
 @pytest.mark.parametrize("a, b, d", [(10, 10, 0), (0, 15, 4), (0, 0xFFFFFFFF, 32)])
 def test_hamming(spark, a, b, d):
     assert spark.range(1).select(docs.hamming(F.lit(a).cast("long"), F.lit(b).cast("long")).alias("d")).first().d == d
